@@ -1,0 +1,7 @@
+"""All queries of the library's own operators, with the DuckDB SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "win_public_fill"
