@@ -1,0 +1,20 @@
+"""One query for each operator, over its whole table and with production settings."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from currikit.llm.common import table
+from currikit.llm.token_counts import token_counts
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op7_token_counts": op7_token_counts,
+}
+
+ORACLES: dict[str, str] = {}
