@@ -89,7 +89,7 @@ def _repeat_words(words: Column) -> Column:
     return let(words, of)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT, whole_rows: bool = False) -> DataFrame:
     """Base counts, the cleaned text and the verdict for each row of docs.
 
     Lines (at \\n) with a word are judged first, one by one: menu lines, lines
@@ -98,13 +98,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``max_lost_percent`` of its word characters with its lines is rejected.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words (long), base_failed, kept, lost_chars (long), clean_text. A
-    null text counts as empty: all counts 0, base_failed true, kept false. A
+    n_repeat_words (long), base_failed, kept, lost_chars (long), clean_text, and
+    with ``whole_rows`` doc, a struct of all columns of docs. A null text counts as empty: all counts 0, base_failed true, kept false. A
     null id stays null; equal rows give equal rows; other columns are ignored;
     an empty table gives an empty result. No shuffle; each text is one row's work.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    carried = [F.struct("*").alias("doc")] if whole_rows else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *carried)
+    doc = ["doc"] if whole_rows else []
     wordy = lambda x: F.rlike(x, F.lit(WORD))
     good_lines = F.filter(F.split("text", "\n"), lambda x: ~wordy(x) | line_failure(x).isNull())
     found = rows.select(
@@ -113,6 +115,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))).alias("w"),
         let(F.filter(F.split("text", "\n"), wordy), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.array_join(good_lines, "\n").alias("clean_text"),
+        *doc,
     )
     counted = found.select(
         "doc_id",
@@ -123,6 +126,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("w.r").alias("n_repeat_words"),
         (_word_chars(F.col("text")) - _word_chars(F.col("clean_text"))).cast("long").alias("lost_chars"),
         "clean_text",
+        *doc,
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     judged = counted.withColumn("base_failed", failed)

@@ -45,14 +45,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _cells(fp: Column, segments: int) -> Column:
-    """The grid cells within Manhattan distance 1 of a fingerprint's popcounts.
+    """The grid cells within Manhattan distance 1 of a fingerprint's popcounts; points at distance 2 or less share one.
 
-    A cell is the vector of popcounts, packed with a byte less a segment where
-    counts fit 4 bits; points at Manhattan distance 2 or less share a cell.
+    A cell is a vector of counts, a byte for each segment, in two words.
     """
     width = BITS // segments
-    assert width * segments == BITS and width <= 4, "segments of up to 4 bits"
-    # four bits a segment are too few for a count of 4 in 64 bits, so counts go into two words of eight segments each
+    assert width * segments == BITS and segments == 16, "two words of eight segments"
     counts = [F.bit_count(F.shiftrightunsigned(fp, width * s).bitwiseAND((1 << width) - 1)).cast("long") for s in range(segments)]
     half = segments // 2
     word = lambda cs: sum((F.shiftleft(c + 1, 8 * i) for i, c in enumerate(cs[1:], 1)), cs[0] + 1)  # noqa: E731  counts from 1, so that steps stay in their byte
@@ -141,7 +139,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for each row of docs.
+    """``(doc_id, fingerprint, component_id, root)`` for each row of docs; root is the component's least fingerprint.
 
     A fingerprint is a class of documents with one representative; only
     distinct fingerprints are linked, so copies cost no pairs. The component's
@@ -157,5 +155,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(fingerprint_links(classes.select("fp"))).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.where(F.col("root").isNotNull()).join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = classes.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(classes, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id", _hex("root").alias("root"))
+
+
+def _hex(fp: str) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each component the document with the least id stays, once.
+
+    A component whose rows all have null ids keeps one of them. All columns
+    stay; an empty table gives an empty result.
+    """
+    groups = checkpointed(near_duplicates(docs, id_col, text_col))  # ids and fingerprints
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    stays = docs.join(first, F.col(id_col) == F.col("__first"), "left_semi").dropDuplicates([id_col])
+    nameless = groups.where("component_id IS NULL").select("fingerprint", "root").distinct()
+    if nameless.isEmpty():
+        return stays
+    rows = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    found = fingerprints(rows, "row", "text").select(F.col("doc_id").alias("row"), _hex("fp").alias("fingerprint")).join(nameless, "fingerprint")
+    return stays.unionByName(found.dropDuplicates(["root"]).select("row.*"))
