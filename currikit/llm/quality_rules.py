@@ -80,10 +80,10 @@ def _repeat_words(words: Column) -> Column:
 
     def repeated(windows: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(windows, j)["w"] == x["w"], F.lit(False))
-        return F.array_sort(F.transform(F.filter(windows, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(windows, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
 
     def of(w: Column) -> Column:
-        windows = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(F.concat_ws(" ", *(F.get(w, i + d) for d in range(k))).alias("w"), i.alias("i"))))
+        windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(F.concat_ws(" ", *(F.get(w, i + d) for d in range(k))).alias("w"), i.alias("i"))))
         return F.when(F.size(w) >= k, let(let(windows, repeated), covered)).otherwise(F.lit(0).cast("long"))
 
     return let(words, of)
