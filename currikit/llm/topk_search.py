@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors to a block of candidates, and queries to a block, about.
-CANDIDATES, QUERIES = 16_384, 8_192
+CANDIDATES, QUERIES = 8_192, 8_192
+#: Queries that look at the lists together.
+TOGETHER = 256
 #: Depth of the first look into the sorted lists; each further look is twice as deep.
 FIRST_DEPTH = 32
 
@@ -18,49 +20,80 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")  # places then order as ids do
-        self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.rising = np.argsort(self.vectors, axis=0, kind="stable")
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best rows whose id is not ``own``, ties to smaller ids.
-
-        Lists of dimensions where the query is positive are read from their
-        end, the others from their start. Every row met is scored in full. No
-        row unmet scores above the sum of query times list value at the present
-        depth, so the search ends when the k-th score is above that sum (at
-        equality an unmet row with a smaller id could still come in).
-        """
-        n = len(self.ids)
+        self.ids, vectors = ids[by_id], vectors[by_id]
+        self.rising = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, self.rising, axis=0)
+        self.vectors = vectors
+        self.largest = int(np.abs(vectors).max(initial=0))
+        self.floats = vectors.astype(np.float64)
+        self.levels = self._levels()
+
+    def _levels(self) -> list[tuple[int, np.ndarray]]:
+        """For each depth the rows that either end of any list shows there first."""
+        n, out, begin, depth = len(self.ids), [], 0, FIRST_DEPTH
         met = np.zeros(n, bool)
-        met[self.ids == own] = True
-        dims = np.flatnonzero(query)
-        weights = query[dims]
-        lists = np.where(weights > 0, self.rising[::-1][:, dims], self.rising[:, dims])
-        places, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        begin, depth = 0, min(FIRST_DEPTH, n)
-        while True:
-            fresh = lists[begin:depth].ravel()
-            fresh = np.unique(fresh[~met[fresh]])
-            if len(fresh):
-                met[fresh] = True
-                places = np.concatenate([places, fresh])
-                scores = np.concatenate([scores, self.vectors[fresh] @ query])
-                if len(places) > 4 * k:
-                    cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    stay = scores >= cut
-                    places, scores = places[stay], scores[stay]
-            done = depth >= n or met.all()
-            if not done and len(places) >= k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                done = kth > int(self.vectors[lists[depth - 1], dims] @ weights)
-            if done or not len(dims):
+        while not met.all():
+            depth = min(depth, n)
+            shown = np.concatenate([self.rising[begin:depth].ravel(), self.rising[n - depth : n - begin].ravel()])
+            fresh = np.unique(shown[~met[shown]])
+            met[fresh] = True
+            out.append((depth, fresh))
+            begin, depth = depth, 2 * depth
+        return out
+
+    def top(self, queries: np.ndarray, owns: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and scores of each query's k best rows whose id is not its own, ties to smaller ids.
+
+        All queries look at the lists to one depth after the other. Rows met
+        are scored in full, all at once. No row unmet scores above the sum, over
+        dimensions, of the query times the list's value at that depth from the
+        end that suits its sign, so a query ends when its k-th score is above that
+        sum (at equality an unmet row with a smaller id could still come in).
+        """
+        n, dims = self.vectors.shape
+        high = int(np.abs(queries).max(initial=0))
+        exact = dims * high * max(self.largest, 1) * max(n, 1) < 1 << 52  # then doubles hold every score and key
+        multiply = self.floats if exact else self.vectors
+        own_place = np.searchsorted(self.ids, owns)
+        own_place = np.where((own_place < n) & (self.ids[np.minimum(own_place, n - 1)] == owns), own_place, -1)
+        places = np.zeros((len(queries), 0), np.int64)
+        scores = np.zeros((len(queries), 0), multiply.dtype)
+        out: list = [None] * len(queries)
+        active = np.arange(len(queries))
+        for depth, fresh in self.levels:
+            if not len(active):
                 break
-            begin, depth = depth, min(2 * depth, n)
-        if not met.all() and not len(dims):  # a query of zeros: every score is 0
-            rest = np.flatnonzero(~met)[:k]
-            places, scores = rest, np.zeros(len(rest), np.int64)
-        best = np.lexsort((places, -scores))[:k]
-        return places[best], scores[best]
+            asked = queries[active].astype(multiply.dtype)
+            new = asked @ multiply[fresh].T
+            fresh_places = np.broadcast_to(fresh, new.shape)
+            scores, places = np.concatenate([scores, new], axis=1), np.concatenate([places, fresh_places], axis=1)
+            own = places == own_place[active][:, None]
+            order = self._best(np.where(own, -np.inf, scores) if exact else scores, places, own, k, exact)
+            scores, places = np.take_along_axis(scores, order, axis=1), np.take_along_axis(places, order, axis=1)
+            own = np.take_along_axis(own, order, axis=1)
+            bound = np.maximum(asked, 0) @ self.sorted[n - depth].astype(multiply.dtype) + np.minimum(asked, 0) @ self.sorted[depth - 1].astype(multiply.dtype)
+            last = depth >= n or fresh is self.levels[-1][1]
+            full = scores.shape[1] >= k and not own.any()
+            done = np.full(len(active), last)
+            if not last and full:
+                done |= scores[:, k - 1] > bound
+            elif not last and scores.shape[1] >= k:
+                done |= (scores[:, k - 1] > bound) & ~own.any(axis=1)
+            for i in np.flatnonzero(done).tolist():
+                mine = ~own[i]
+                out[active[i]] = places[i][mine], scores[i][mine].astype(np.int64)
+            active, scores, places = active[~done], scores[~done], places[~done]
+        return [(np.empty(0, np.int64), np.empty(0, np.int64)) if x is None else x for x in out]
+
+    def _best(self, scores: np.ndarray, places: np.ndarray, own: np.ndarray, k: int, exact: bool) -> np.ndarray:
+        """Columns of each row's k best, best first; the query's own row comes last."""
+        if exact:
+            key = scores * len(self.ids) - places  # no two alike
+            if key.shape[1] > k:
+                columns = np.argpartition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k :]
+                return np.take_along_axis(columns, np.argsort(-np.take_along_axis(key, columns, axis=1), axis=1), axis=1)
+            return np.argsort(-key, axis=1)
+        return np.array([np.lexsort((p, -s, o))[:k] for s, p, o in zip(scores, places, own, strict=True)])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
@@ -93,9 +126,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         out: list[tuple[np.ndarray, ...]] = []
         if cands.num_rows and asked.num_rows:
             block = SortedLists(*_matrix(cands))
-            for own, query in zip(*_matrix(asked), strict=True):
-                places, scores = block.top(query, own, k)
-                out.append((np.full(len(places), own), block.ids[places], scores))
+            owns, vectors = _matrix(asked)
+            for i in range(0, len(owns), TOGETHER):
+                mine = owns[i : i + TOGETHER]
+                for own, (places, scores) in zip(mine, block.top(vectors[i : i + TOGETHER], mine, k), strict=True):
+                    out.append((np.full(len(places), own), block.ids[places], scores))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
