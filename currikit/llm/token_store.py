@@ -46,7 +46,7 @@ BLOCK = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Text bytes to a shard, about; a table of any size has shards of this size.
 SHARD_BYTES = 24 << 20
-KEPT_WORDS, KEPT_PIECES = 300_000, 300_000
+KEPT_WORDS, KEPT_PIECES = 400_000, 500_000
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<BQI")
 

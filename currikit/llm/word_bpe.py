@@ -16,6 +16,8 @@ import regex
 #: Python's str.split() also cuts at these, which are no white space to the vocabulary's patterns.
 CONTROLS = regex.compile(r"[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
+#: Marks that most often end a piece.
+MARKS = ".,;:!?"
 #: Pieces longer than this are rare and not kept.
 LONGEST_KEPT = 64
 
@@ -60,16 +62,24 @@ class WordBpe:
 
     def words(self, piece: str) -> list[bytes | int]:
         """The words of a piece in order; an int is the id of a special token."""
+        stem, mark = (piece[:-1], piece[-1]) if piece[-1] in MARKS else (piece, "")
+        if stem.isalpha():  # letters and perhaps a mark, as most pieces are: the pattern would find these
+            low = stem.lower() if stem.isascii() else self.lowered(stem)
+            if low.isalpha():
+                return [low.encode(), mark.encode()] if mark else [low.encode()]
         out: list[bytes | int] = []
         for part in self.specials.split(piece) if "<" in piece else (piece,):
             if part in self.special:
                 out.append(self.special[part])
             else:
-                # letter by letter: a final capital sigma becomes the same letter as elsewhere
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [w.encode() for w in self.pattern.findall(low)]
+                out += [w.encode() for w in self.pattern.findall(self.lowered(part))]
         return out
 
+    @staticmethod
+    def lowered(text: str) -> str:
+        """In NFC and lower case, letter by letter: a final capital sigma becomes the same letter as elsewhere."""
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def count(self, word: bytes) -> int:
         """Number of tokens of a word: its bytes less the merges. Symbols form a linked list, pairs wait in a heap by rank, then place; pairs that no longer stand are passed over."""
         n = len(word)
