@@ -48,7 +48,7 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Null becomes empty; no-break spaces, fences and runs of blanks and blank lines are evened out; ends are stripped."""
-    t = F.translate(F.coalesce(text, F.lit("")), " ", " ")
+    t = F.translate(F.coalesce(text, F.lit("")), "\u00a0", " ")
     t = F.regexp_replace(F.regexp_replace(t, FENCE, ""), "[ \t]+", " ")
     return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
