@@ -20,10 +20,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``(v, bad)`` of each line that isn't blank: the record as a variant, or null and true."""
+def parse_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """``(keep, v, bad)`` of each line that isn't blank: the record as a variant, or null and true."""
     text = strip(F.col(column))
-    return lines.where(text != "").select(F.try_parse_json(text).alias("v"), F.try_parse_json(text).isNull().alias("bad"))
+    return lines.where(text != "").select(*keep, F.try_parse_json(text).alias("v")).withColumn("bad", F.col("v").isNull())
 
 
 def typed(records: DataFrame, fields: Mapping[str, str], v: str = "v") -> DataFrame:
@@ -31,7 +31,7 @@ def typed(records: DataFrame, fields: Mapping[str, str], v: str = "v") -> DataFr
 
     def one(name: str, kind: str) -> Column:
         if kind in ("double", "float"):
-            return safe_float(F.try_variant_get(v, f"$['{name}']", "string"))
+            return safe_float(F.try_variant_get(v, f"$['{name}']", "double"))
         return F.try_variant_get(v, f"$['{name}']", kind)
 
     return records.select(*(one(n, k).alias(n) for n, k in fields.items()), F.col(v).alias("raw"))
