@@ -86,14 +86,14 @@ METRICS = """px_metrics AS (SELECT event_id AS row_id, user_id % 7 AS client_id,
 def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients' parameters: labels are clients, ranks of vectors within a label are tensors (even A, odd B), components are values."""
     e = table(spark, sf_dir, "embeddings")
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("r < 40")
+    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
     key = F.concat(F.lit("layers."), F.floor(F.col("r") / 2).cast("string"), F.when(F.col("r") % 2 == 0, ".lora_A").otherwise(".lora_B"))
     return ranked.select(F.col("label").alias("client_id"), key.alias("key"), F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 TENSORS = """px_rank AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
 px_tensor AS (SELECT label AS client_id, 'layers.' || (r // 2) || CASE WHEN r % 2 = 0 THEN '.lora_A' ELSE '.lora_B' END AS key,
-  CAST(i AS INTEGER) AS pos, CAST(embedding[i + 1] AS DOUBLE) AS value FROM px_rank, range(0, 64) t(i) WHERE r < 40)"""
+  CAST(i AS INTEGER) AS pos, CAST(embedding[i + 1] AS DOUBLE) AS value FROM px_rank, range(0, 64) t(i))"""
 
 
 def global_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,8 +48,9 @@ _expr("fn_clamp", lambda: M.clamp(c("client_margin"), -0.2, 0.3), "greatest(-2e-
 _expr("fn_difficulty_of_source", lambda: T.difficulty_of_source(F.when(c("row_id") % 9 == 0, "other").otherwise(c("source"))), "CASE WHEN row_id % 9 = 0 THEN 'unknown' ELSE regexp_extract(source, '_(.*)', 1) END")
 _expr("fn_origin_of_source", lambda: T.origin_of_source(c("source")), "CASE WHEN source LIKE 'public~_%' ESCAPE '~' THEN 'public' ELSE 'local' END")
 _expr("fn_get_margin", lambda: M.get_margin({"reward_gap": c("reward_gap"), "client_margin": F.when(c("row_id") % 3 == 0, F.lit("nan")).when(c("row_id") % 3 == 1, F.lit("x")).otherwise(c("client_margin").cast("string"))}, c("client_margin_valid")), "CASE WHEN client_margin_valid IS DISTINCT FROM false THEN CASE WHEN row_id % 3 = 2 THEN client_margin ELSE reward_gap END END")
-_expr("fn_margin_sources", lambda: F.size(M.margin_sources({"client_margin": c("client_margin"), "reward_gap": F.when(c("row_id") % 4 > 0, c("reward_gap"))})), "CASE WHEN row_id % 4 > 0 THEN 2 ELSE 1 END")
+_expr("fn_margin_sources", lambda: F.size(M.margin_sources({"client_margin": c("client_margin"), "reward_gap": F.when(c("source") != "local_hard", c("reward_gap"))})), "CASE WHEN source <> 'local_hard' THEN 2 ELSE 1 END")
 _expr("fn_safe_float", lambda: M.safe_float(F.when(c("row_id") % 4 == 0, "true").when(c("row_id") % 4 == 1, "inf").when(c("row_id") % 4 == 2, "-1.5e1").otherwise("?")), "CASE row_id % 4 WHEN 2 THEN -15e0 END")
+_expr("fn_score_margin", lambda: M.score_margin(c("client_margin"), M.bayes_pool([M.margin_to_probability(c(x)) for x in FIELDS])), _POOL)
 _expr("fn_score_margin_boundary", lambda: F.round(M.score_margin(c("client_margin"), F.lit(None).cast("double"), "boundary"), 9), "round(exp(-abs(client_margin) / 25e-2), 9)")
 _expr("fn_score_margin_reliability", lambda: F.round(M.score_margin(c("client_margin"), M.bayes_pool([M.margin_to_probability(c(x)) for x in FIELDS]), "reliability_boundary"), 9), f"round(exp(-abs(client_margin) / 25e-2) * greatest(0e0, ({_POOL}) - 5e-1) / 5e-1, 9) + 0e0")
 _expr("fn_instability", lambda: F.round(M.instability(c("client_margin"), F.abs(c("reward_gap"))), 9), "round(greatest(0e0, -client_margin) + greatest(0e0, 5e-1 - abs(reward_gap)), 9) + 0e0")
@@ -59,7 +60,7 @@ _expr("proj_prefixed_seed", lambda: F.lit(20260520) + c("client_id"), "20260520
 
 for _name, _column, _sql in (
     ("flt_margin_present", lambda: M.get_margin({x: c(x) for x in FIELDS}, c("client_margin_valid")).isNotNull(), "client_margin_valid IS DISTINCT FROM false"),
-    ("flt_min_sources", lambda: F.size(M.margin_sources({"a": c("client_margin"), "b": F.when(c("row_id") % 4 > 0, c("reward_gap"))})) >= 2, "row_id % 4 > 0"),
+    ("flt_min_sources", lambda: F.size(M.margin_sources({"a": c("client_margin"), "b": F.when(c("source") != "local_hard", c("reward_gap"))})) >= 2, "source <> 'local_hard'"),
     ("flt_min_margin", lambda: c("client_margin") >= 0.1, "client_margin >= 1e-1"),
     ("flt_drop_truncated", lambda: ~c("client_truncated").eqNullSafe(F.lit(True)), "NOT client_truncated"),
     ("flt_drop_invalid", lambda: F.coalesce("client_margin_valid", F.lit(True)), "client_margin_valid IS DISTINCT FROM false"),
@@ -217,6 +218,14 @@ def win_shard(spark, sf_dir):
     return R.shards(X.scored(spark, sf_dir), [c("row_id")], 4, by=["client_id"]).select("client_id", "row_id", "shard")
 
 
+@_query("fn_shard_bounds", f"WITH {X.SCORED}, n AS (SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY client_id) AS n FROM px_scored) SELECT client_id, CAST(i // CAST(ceil(n / 3) AS BIGINT) AS INTEGER) AS shard, min(i) AS first, max(i) AS last FROM n GROUP BY ALL")
+def fn_shard_bounds(spark, sf_dir):
+    """First and last place of each contiguous shard."""
+    numbered = R.ranked(X.scored(spark, sf_dir), ["client_id"], [c("row_id")], "i")
+    out = R.shards(numbered, [c("row_id")], 3, by=["client_id"]).groupBy("client_id", "shard")
+    return out.agg((F.min("i") - 1).cast("long").alias("first"), (F.max("i") - 1).cast("long").alias("last"))
+
+
 @_query("win_batch", f"WITH {X.SCORED} SELECT client_id, row_id, CAST((row_number() OVER (PARTITION BY client_id ORDER BY row_id) - 1) // 16 AS INTEGER) AS batch FROM px_scored")
 def win_batch(spark, sf_dir):
     return R.batches(X.scored(spark, sf_dir), [c("row_id")], 16, by=["client_id"]).select("client_id", "row_id", "batch")
@@ -291,11 +300,11 @@ def agg_build_stats(spark, sf_dir):
     return X.documents(spark, sf_dir).rollup("lang").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("total")).alias("lang"), "n")
 
 
-@_query("agg_bayes_product", f"WITH {X.SCORED} SELECT query, client_id, CAST(count(*) AS BIGINT) AS n, round(product(p) / (product(p) + product(1 - p)), 6) AS pooled FROM (SELECT *, {_P1} AS p FROM px_scored) GROUP BY ALL HAVING n <= 5")
+@_query("agg_bayes_product", f"WITH {X.SCORED} SELECT query, client_id, CAST(count(*) AS BIGINT) AS n, round(product(p) / nullif(product(p) + product(1 - p), 0), 6) AS pooled FROM (SELECT *, {_P1} AS p FROM px_scored) GROUP BY ALL")
 def agg_bayes_product(spark, sf_dir):
     p = M.margin_to_probability(c("client_margin"))
     out = X.scored(spark, sf_dir).withColumn("p", p).groupBy("query", "client_id").agg(F.count("*").alias("n"), F.product("p").alias("yes"), F.product(1.0 - c("p")).alias("no"))
-    return out.where("n <= 5").select("query", "client_id", "n", F.round(c("yes") / (c("yes") + c("no")), 6).alias("pooled"))
+    return out.select("query", "client_id", "n", F.round(F.try_divide(c("yes"), c("yes") + c("no")), 6).alias("pooled"))
 
 
 @_query("agg_unique_count", "SELECT lang, count(DISTINCT source) AS n FROM documents GROUP BY 1")
@@ -310,6 +319,14 @@ def union_sources_(spark, sf_dir):
     return union_sources(parts).select("source", "row_id", "client_margin", "reward_gap")
 
 
+@_query("semi_anti_leftover", f"WITH {X.SCORED} SELECT client_id, row_id FROM px_scored WHERE row_id NOT IN (SELECT row_id FROM px_scored QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY client_margin DESC, row_id) <= 25)")
+def semi_anti_leftover(spark, sf_dir):
+    """Rows that a first choice left over."""
+    rows = X.scored(spark, sf_dir)
+    taken = R.top_k(rows, ["client_id"], [c("client_margin").desc(), c("row_id")], 25).select("row_id")
+    return rows.join(taken, "row_id", "left_anti").select("client_id", "row_id")
+
+
 @_query("set_except_selected", f"WITH {_prepared(2)}, {_budget('prep', ROUND_2)} SELECT client_id, row_id FROM prep WHERE row_id NOT IN (SELECT row_id FROM fin)")
 def set_except_selected(spark, sf_dir):
     pool = _pool(spark, sf_dir, 2)

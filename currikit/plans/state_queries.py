@@ -82,8 +82,8 @@ def win_balanced_quantile(spark, sf_dir):
     return P.balanced_buckets(_metrics(spark, sf_dir), ["client_id"], "row_id").select("client_id", "row_id", "level")
 
 
-_BANDS = f"""{_M}, s AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY difficulty_score, row_id) - 1 AS i, count(*) OVER (PARTITION BY client_id) AS n,
-  CASE WHEN difficulty_score <= 16e-2 THEN 'easy' WHEN difficulty_score BETWEEN 16e-2 AND 3e-1 THEN 'medium' WHEN difficulty_score BETWEEN 3e-1 AND 45e-2 THEN 'hard' END AS band FROM m WHERE client_id <> 2 OR difficulty_score < 16e-2),
+_BANDS = f"""{_M}, e AS (SELECT * REPLACE (CASE WHEN client_id = 2 THEN difficulty_score * 1e-1 ELSE difficulty_score END AS difficulty_score) FROM m), s AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY difficulty_score, row_id) - 1 AS i, count(*) OVER (PARTITION BY client_id) AS n,
+  CASE WHEN difficulty_score <= 16e-2 THEN 'easy' WHEN difficulty_score BETWEEN 16e-2 AND 3e-1 THEN 'medium' WHEN difficulty_score BETWEEN 3e-1 AND 45e-2 THEN 'hard' END AS band FROM e),
 h AS (SELECT client_id, list(DISTINCT band) AS has FROM s GROUP BY 1), b AS (SELECT client_id, row_id, band AS level FROM s WHERE band IS NOT NULL
   UNION ALL SELECT client_id, row_id, 'easy' FROM s JOIN h USING (client_id) WHERE NOT list_contains(has, 'easy') AND i < greatest(1, round_even(n * 3e-1, 0))
   UNION ALL SELECT client_id, row_id, 'medium' FROM s JOIN h USING (client_id) WHERE NOT list_contains(has, 'medium') AND i >= round_even(n * 3e-1, 0) AND i < greatest(round_even(n * 3e-1, 0) + 1, round_even(n * 65e-2, 0))
@@ -92,7 +92,8 @@ h AS (SELECT client_id, list(DISTINCT band) AS has FROM s GROUP BY 1), b AS (SEL
 
 @_query("win_score_bands", f"WITH {_BANDS} SELECT client_id, row_id, level FROM b")
 def win_score_bands(spark, sf_dir):
-    rows = _metrics(spark, sf_dir).where("client_id <> 2 OR difficulty_score < 0.16")
+    score = c("difficulty_score")  # one client's pairs are all easy
+    rows = _metrics(spark, sf_dir).withColumn("difficulty_score", F.when(c("client_id") == 2, score * 0.1).otherwise(score))
     return P.score_bands(rows, ["client_id"], "row_id").select("client_id", "row_id", "level")
 
 
@@ -191,6 +192,13 @@ def ext_score_logprobs(spark, sf_dir):
     return G.with_model(X.documents(spark, sf_dir).select("doc_id", "text"), _length_model, "doc_id long, logprob double")
 
 
+@_query("ext_score_source", f"WITH {_SUMS}, p AS (SELECT row_id, {_PARTS} FROM s GROUP BY 1), m AS (SELECT row_id, 1e-1 * ((policy_chosen - policy_rejected) - (ref_chosen - ref_rejected)) AS g FROM p) SELECT row_id % 3 AS source, count(*) AS num_rows, count(*) FILTER (g IS NULL) AS num_invalid, round(avg(g), 6) AS mean_margin FROM m GROUP BY 1")
+def ext_score_source(spark, sf_dir):
+    """Scores of each source from the models' log-probabilities."""
+    scored = G.margin_parts(_sums(spark, sf_dir), "row_id").withColumn("source", c("row_id") % 3)
+    return G.score_summary(scored).withColumn("mean_margin", F.round("mean_margin", 6))
+
+
 @_query("ext_generate_candidates", "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n FROM documents")
 def ext_generate_candidates(spark, sf_dir):
     model = lambda: lambda prompts: [["first answer", " " if int(p) % 2 else "second answer"] for p in prompts]
@@ -233,6 +241,7 @@ _MOMENTUM = "9e-1 * m + (1e0 - 9e-1) * d"
 _YOGI = "v - (1e0 - 99e-2) * m1 * m1 * sign(v - m1 * m1)"
 _ADAM = "99e-2 * v + (1e0 - 99e-2) * m1 * m1"
 _rule("fed_fedavg", "sw")
+QUERIES["agg_fedavg"], ORACLES["agg_fedavg"] = QUERIES["fed_fedavg"], ORACLES["fed_fedavg"]
 _rule("fed_fedprox", "sw")
 _rule("fed_fedavgm", "g + m1", "sw - g * w")
 _rule("fed_fedavgm_later", "g + m1", "9e-1 * m + (1e0 - 9e-1) * (sw - g * w)", later=True)
@@ -371,14 +380,19 @@ def agg_train_stats_mean(spark, sf_dir):
     return A.train_stats(steps, ["loss", "acc"]).withColumns({m: F.round(m, 6) for m in ("loss", "acc")})
 
 
-@_query("fed_round_loop")
+@_query(
+    "fed_round_loop",
+    f"""WITH {_FED}, r1 AS (SELECT *, d AS m1, 99e-2 * 1e-3 * 1e-3 + (1e0 - 99e-2) * d * d AS v1 FROM j), g1 AS (SELECT *, g + 1e-3 * m1 / (sqrt(v1) + 1e-3) AS h FROM r1),
+r2 AS (SELECT *, 9e-1 * m1 + (1e0 - 9e-1) * (mean - h) AS m2 FROM g1), v2 AS (SELECT *, 99e-2 * v1 + (1e0 - 99e-2) * m2 * m2 AS v2 FROM r2)
+SELECT key, pos, round(CASE WHEN sw IS NULL THEN g ELSE h + 1e-3 * m2 / (sqrt(v2) + 1e-3) END, 6) + 0e0 AS value FROM v2""",
+)
 def fed_round_loop(spark, sf_dir):
-    """Two rounds of the server's rule with a state that is written between them."""
+    """Two rounds of an adaptive rule with a state that is written between them."""
     from currikit.plans.rounds import run_rounds
 
-    state = X.global_state(spark, sf_dir)
-    train = lambda round_, current: A.fuse(current.select("key", "pos", "value"), X.tensors(spark, sf_dir))
-    return run_rounds(state, train, X.samples(spark, sf_dir), A.Server("fedadam"), 2, shared_folder(spark, "rounds"))
+    local = X.tensors(spark, sf_dir)
+    out = run_rounds(X.global_state(spark, sf_dir), lambda round_, state: local, X.samples(spark, sf_dir), A.Server("fedadam"), 2, shared_folder(spark, "rounds"))
+    return out.select("key", "pos", (F.round("value", 6) + 0.0).alias("value"))
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -464,10 +478,10 @@ def scan_json_document(spark, sf_dir):
     return spark.createDataFrame([(found["margin"], gone["n"])], "margin double, missing int")
 
 
-@_query("scan_dataset_split", "SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND doc_id % 3 = 0")
+@_query("scan_dataset_split", "SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND source <> 'src3'")
 def scan_dataset_split(spark, sf_dir):
     """Partitions by language and split, read by pruning."""
-    rows = X.documents(spark, sf_dir).select("doc_id", "lang", F.when(c("doc_id") % 3 == 0, "train").otherwise("test").alias("split"))
+    rows = X.documents(spark, sf_dir).select("doc_id", "lang", F.when(c("source") != "src3", "train").otherwise("test").alias("split"))
     return _round_trip(rows, lambda d, p: d.write.partitionBy("lang", "split").parquet(p), lambda p: readers.read_split(spark, p, ["de", "fr"], "train").select("doc_id", "lang"), "dataset")
 
 
@@ -574,6 +588,23 @@ def union_selected(spark, sf_dir):
     return out.where("origin = 'local'").unionByName(out.where("origin = 'public'")).select("client_id", "row_id", "origin")
 
 
+@_query("ctl_stage_range", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def ctl_stage_range(spark, sf_dir):
+    """Stages by range: the second run starts at the second stage and reads the first one's table."""
+    from currikit.plans.rounds import run_stages
+
+    folder = shared_folder(spark, "stages")
+    stages = [("rows", lambda t: X.documents(spark, sf_dir).select("lang")), ("counts", lambda t: t["rows"].groupBy("lang").agg(F.count("*").alias("n")))]
+    run_stages(spark, stages, folder, end=0)
+    return run_stages(spark, stages, folder, start=1)["counts"]
+
+
+@_query("ctl_stage_config", "SELECT * FROM (VALUES (1, 60, 0.5e0, false, 2), (2, 80, -1e0, false, 4), (3, 80, -1e0, true, 5)) t(round, target, max_public_ratio, gate_hard, n_sources)")
+def ctl_stage_config(spark, sf_dir):
+    rows = [(k, r.target, r.max_public_ratio, r.gate_hard, len(Q.ROUND_SOURCES[k])) for k, r in ((1, Q.ROUND_1), (2, Q.ROUND_2), (3, Q.ROUND_3))]
+    return spark.createDataFrame(rows, "round int, target int, max_public_ratio double, gate_hard boolean, n_sources int")
+
+
 @_query("ctl_preflight", "SELECT * FROM (VALUES ('documents', true), ('absent', false)) t(name, there)")
 def ctl_preflight(spark, sf_dir):
     return spark.createDataFrame([(n, readers.path_exists(spark, f"{sf_dir}/{n}.parquet")) for n in ("documents", "absent")], "name string, there boolean")

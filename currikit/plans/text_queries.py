@@ -63,6 +63,16 @@ f AS (SELECT doc_id, max_by(b, k) AS value FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(f.value AS INTEGER) AS value FROM d LEFT JOIN f USING (doc_id)"""
 _scalar("fn_parse_csv_list", lambda x: F.concat_ws("/", T.csv_list(F.concat_ws(" , ", F.lit(""), "source", F.lit(""), "lang"))), "source || '/' || lang")
 _scalar("fn_suffix_marker", lambda x: T.suffix_from_marker(F.concat(F.lit("base.model."), F.when(F.col("doc_id") % 4 == 0, "layers.1.lora_A.w").when(F.col("doc_id") % 4 == 1, "norm.x").when(F.col("doc_id") % 4 == 2, "a.lora_B.w").otherwise("none"))), "CASE doc_id % 4 WHEN 0 THEN 'layers.1.lora_A.w' WHEN 1 THEN 'norm.x' WHEN 2 THEN 'lora_B.w' ELSE 'base.model.none' END")
+_KEY_SQL = "CASE doc_id % 3 WHEN 0 THEN 'l.lora_A.w' WHEN 1 THEN 'l.lora_B.w' ELSE 'l.norm' END"
+
+
+def _key():
+    return F.when(F.col("doc_id") % 3 == 0, "l.lora_A.w").when(F.col("doc_id") % 3 == 1, "l.lora_B.w").otherwise("l.norm")
+
+
+_scalar("fn_is_lora_a", lambda x: T.is_lora_a(_key()), f"{_KEY_SQL} LIKE '%lora~_A%' ESCAPE '~'")
+_scalar("fn_is_lora_b", lambda x: T.is_lora_b(_key()), f"{_KEY_SQL} LIKE '%lora~_B%' ESCAPE '~'")
+_scalar("fn_parse_ids", lambda x: F.array_join(F.transform(T.csv_list(F.concat_ws(",", F.lit(" 0"), F.lit(""), (F.col("doc_id") % 9).cast("string"))), lambda i: (i.cast("int") + 1).cast("string")), "/"), "'1/' || (doc_id % 9 + 1)")
 _scalar("flt_special_tokens", lambda x: T.has_special_tokens(F.concat(F.when(F.col("doc_id") % 5 == 0, "see www.x ").when(F.col("doc_id") % 5 == 1, "<a href> ").otherwise(""), x)), "doc_id % 5 < 2 OR " + D.matches(f"lower({D.normalize('x')})", T.SPECIAL))
 _scalar("flt_probably_english", lambda x: T.is_probably_english(x), f"(SELECT {D.english('n')} FROM (SELECT {D.normalize('x')} AS n))")
 _scalar("flt_bad_docstring_reason", lambda x: T.bad_docstring_reason(F.concat(F.when(F.col("doc_id") % 6 == 0, "We return x. ").when(F.col("doc_id") % 6 == 1, "I cannot say. ").when(F.col("doc_id") % 6 == 2, "<code>").otherwise(""), F.when(F.col("doc_id") % 17 != 0, x).otherwise(""))), "0")
@@ -76,9 +86,9 @@ def flt_codexglue_doc(spark, sf_dir):
     return X.documents(spark, sf_dir).where(T.passes_doc_filter(F.col("text"), none)).select("doc_id", T.clean_docstring(F.col("text")).alias("doc"))
 
 
-@_query("flt_nonempty_clean", f"WITH d AS (SELECT doc_id, {D.clean('CASE WHEN doc_id % 4 = 0 THEN chr(9) || chr(10) ELSE text END')} AS c FROM documents) SELECT doc_id FROM d WHERE c <> ''")
+@_query("flt_nonempty_clean", f"WITH d AS (SELECT doc_id, {D.clean("CASE WHEN lang = 'es' THEN chr(9) || chr(10) ELSE text END")} AS c FROM documents) SELECT doc_id FROM d WHERE c <> ''")
 def flt_nonempty_clean(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 4 == 0, "\t\n").otherwise(F.col("text"))
+    t = F.when(F.col("lang") == "es", "\t\n").otherwise(F.col("text"))
     return X.documents(spark, sf_dir).where(T.clean_docstring(t) != "").select("doc_id")
 
 
@@ -139,10 +149,14 @@ def fn_jaccard_tokens(spark, sf_dir):
     return X.pairs(spark, sf_dir).select("row_id", S.jaccard(F.split("query", " "), F.split("chosen", " ")).alias("value"))
 
 
-@_query("set_token_operations", f"WITH {X.PAIRS} SELECT row_id, CAST(len(list_distinct(list_intersect(string_split(query, ' '), string_split(chosen, ' ')))) AS INTEGER) AS n_both, CAST(len(list_distinct(list_concat(string_split(query, ' '), string_split(chosen, ' ')))) AS INTEGER) AS n_any FROM px_pair")
-def set_token_operations(spark, sf_dir):
-    a, b = F.split("query", " "), F.split("chosen", " ")
-    return X.pairs(spark, sf_dir).select("row_id", F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_union(a, b)).alias("n_any"))
+@_query("set_intersect_tokens", f"WITH {X.PAIRS} SELECT row_id, CAST(len(list_distinct(list_intersect(string_split(query, ' '), string_split(chosen, ' ')))) AS INTEGER) AS n FROM px_pair")
+def set_intersect_tokens(spark, sf_dir):
+    return X.pairs(spark, sf_dir).select("row_id", F.size(F.array_intersect(F.split("query", " "), F.split("chosen", " "))).alias("n"))
+
+
+@_query("set_union_tokens", f"WITH {X.PAIRS} SELECT row_id, CAST(len(list_distinct(list_concat(string_split(query, ' '), string_split(chosen, ' ')))) AS INTEGER) AS n FROM px_pair")
+def set_union_tokens(spark, sf_dir):
+    return X.pairs(spark, sf_dir).select("row_id", F.size(F.array_union(F.split("query", " "), F.split("chosen", " "))).alias("n"))
 
 
 @_query("fn_ngrams", f"WITH {X.PAIRS}, w AS (SELECT row_id, string_split(chosen, ' ') AS t FROM px_pair) SELECT row_id, array_to_string(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')), '|') AS value FROM w")
@@ -217,15 +231,15 @@ def win_dedup_array(spark, sf_dir):
     return X.pairs(spark, sf_dir).select("row_id", values.alias("v")).select("row_id", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"))
 
 
-@_query("join_candidates_by_sample_id", "WITH c AS (SELECT lang AS sample_id, max_by(source, doc_id) AS last FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) SELECT d.doc_id, c.last FROM documents d LEFT JOIN c ON c.sample_id = CASE WHEN d.doc_id % 5 <> 0 THEN d.lang END")
+@_query("join_candidates_by_sample_id", "WITH c AS (SELECT lang AS sample_id, max_by(source, doc_id) AS last FROM documents GROUP BY lang) SELECT d.doc_id, c.last FROM documents d LEFT JOIN c ON c.sample_id = CASE WHEN d.lang <> 'fr' THEN d.lang END")
 def join_candidates_by_sample_id(spark, sf_dir):
     d = X.documents(spark, sf_dir)
-    generated = d.where("doc_id % 2 = 0").select(F.col("lang").alias("sample_id"), F.col("doc_id").alias("ordinal"), F.array("source").alias("generated_responses"))
-    rows = d.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("sample_id"))
+    generated = d.select(F.col("lang").alias("sample_id"), F.col("doc_id").alias("ordinal"), F.array("source").alias("generated_responses"))
+    rows = d.select("doc_id", F.when(F.col("lang") != "fr", F.col("lang")).alias("sample_id"))
     return P.join_candidates(rows, generated).select("doc_id", F.get("generated_responses", F.lit(0)).alias("last"))
 
 
-_CODE = X.CODE + ", base AS (SELECT doc_id, lang, repo, func_name, docstring, list_distinct(code_tokens) AS t FROM px_code WHERE lang <> 'en')"
+_CODE = X.CODE + ", base AS (SELECT doc_id, lang, repo, func_name, docstring, list_distinct(code_tokens) AS t FROM px_code)"
 
 
 @_query("join_mismatch_self", f"""WITH {_CODE}, tok AS (SELECT doc_id, lang, unnest(t) AS k FROM base), com AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS c FROM tok a JOIN tok b ON a.lang = b.lang AND a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
@@ -235,14 +249,14 @@ r AS (SELECT *, code_similarity + CASE WHEN same_name THEN 15e-2 ELSE 0e0 END -
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank_score DESC, other) AS rn FROM r)
 SELECT doc_id, other, round(code_similarity, 9) AS code_similarity, round(rank_score, 9) AS rank_score, CAST(rn AS INTEGER) AS rn FROM k WHERE rn <= 8""")
 def join_mismatch_self(spark, sf_dir):
-    rows = X.code_samples(spark, sf_dir).where("lang <> 'en'")
+    rows = X.code_samples(spark, sf_dir)
     out = P.retrieval_candidates(rows, "lang", "doc_id", "code_tokens", "func_name", "repo", 8, salts=4)
     return out.select("doc_id", "other", F.round("code_similarity", 9).alias("code_similarity"), F.round("rank_score", 9).alias("rank_score"), "rn")
 
 
 @_query("win_argmax_mismatch")
 def win_argmax_mismatch(spark, sf_dir):
-    rows = X.code_samples(spark, sf_dir).where("lang <> 'en'")
+    rows = X.code_samples(spark, sf_dir)
     near = P.retrieval_candidates(rows, "lang", "doc_id", "code_tokens", "func_name", "repo", 8, salts=4)
     return P.best_mismatch(rows, near, "doc_id", "docstring", 4).select("doc_id", "mismatch.*")
 
