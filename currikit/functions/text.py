@@ -6,7 +6,7 @@ whatever the regex engine's default, so the classes are spelled out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,11 @@ LEVELS = ("easy", "medium", "hard")
 KEY_MARKERS = ("layers.", "embed_tokens.", "norm.", "lm_head.", "lora_A.", "lora_B.")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it: nested rules would grow without end otherwise."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -80,29 +85,37 @@ def field_tokens(tokens: Column, text: Column) -> Column:
 
 def code_like_ratio(text: Column, normalize: bool = True) -> Column:
     """Share of characters that code is full of; 0 for an empty text."""
-    t = normalize_text(text) if normalize else F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    return F.when(n > 0, (n - F.length(F.translate(t, CODE_CHARS, ""))) / n).otherwise(F.lit(0.0))
+
+    def ratio(t: Column) -> Column:
+        n = F.length(t)
+        return F.when(n > 0, (n - F.length(F.translate(t, CODE_CHARS, ""))) / n).otherwise(F.lit(0.0))
+
+    return let(normalize_text(text) if normalize else F.coalesce(text, F.lit("")), ratio)
 
 
 def bad_docstring_reason(text: Column, clean: bool = True) -> Column:
     """The first rule that a docstring breaks, or null."""
-    t = clean_docstring(text) if clean else strip(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
-    return (
-        F.when(t == "", "empty")
-        .when(F.rlike(low, F.lit(CODE_BLOCK)), "code_block")
-        .when(code_like_ratio(t, clean) > CODE_LIKE_LIMIT, "code_like")
-        .when(F.rlike(t, F.lit(KEYWORDS)), "contains_code")
-        .when(F.rlike(low, F.lit(REFUSAL)), "assistant_refusal")
-        .when(F.size(word_tokens(t, clean)) < MIN_WORDS, "too_short")
-    )
+
+    def reason(t: Column) -> Column:
+        low = F.lower(t)
+        return (
+            F.when(t == "", "empty")
+            .when(F.rlike(low, F.lit(CODE_BLOCK)), "code_block")
+            .when(code_like_ratio(t, clean) > CODE_LIKE_LIMIT, "code_like")
+            .when(F.rlike(t, F.lit(KEYWORDS)), "contains_code")
+            .when(F.rlike(low, F.lit(REFUSAL)), "assistant_refusal")
+            .when(F.size(word_tokens(t, clean)) < MIN_WORDS, "too_short")
+        )
+
+    return let(clean_docstring(text) if clean else strip(F.coalesce(text, F.lit(""))), reason)
 
 
 def is_probably_english(text: Column) -> Column:
-    t = normalize_text(text)
-    other = F.length(F.regexp_replace(t, r"[\x00-\x7F]", ""))
-    return F.rlike(t, F.lit("[A-Za-z]")) & (other / F.greatest(F.length(t), F.lit(1)) < NON_ASCII_LIMIT)
+    def english(t: Column) -> Column:
+        other = F.length(F.regexp_replace(t, r"[\x00-\x7F]", ""))
+        return F.rlike(t, F.lit("[A-Za-z]")) & (other / F.greatest(F.length(t), F.lit(1)) < NON_ASCII_LIMIT)
+
+    return let(normalize_text(text), english)
 
 
 def has_special_tokens(text: Column) -> Column:
@@ -112,9 +125,7 @@ def has_special_tokens(text: Column) -> Column:
 
 def passes_doc_filter(docstring: Column, tokens: Column, least: int = 3, most: int = 256) -> Column:
     """Whether a docstring has a fitting length, no tags or addresses, and looks English."""
-    doc = clean_docstring(docstring)
-    n = F.size(field_tokens(tokens, doc))
-    return n.between(least, most) & ~has_special_tokens(doc) & is_probably_english(doc)
+    return let(clean_docstring(docstring), lambda doc: F.size(field_tokens(tokens, doc)).between(least, most) & ~has_special_tokens(doc) & is_probably_english(doc))
 
 
 def first_nonblank(*values: Column) -> Column:
@@ -156,12 +167,16 @@ def row_identity(repo: Column, path: Column, func_name: Column, own: Column) ->
 
 def synthetic_candidates(chosen: Column) -> Column:
     """Altered docstrings in order of preference: another verb for returning, for creating, and the last two words swapped."""
-    doc = clean_docstring(chosen)
-    swap = lambda verb, new: F.when(F.rlike(doc, F.lit(rf"(?is)(^|{NOT_WORD}){verb}s?({NOT_WORD}|$)")), F.regexp_replace(doc, rf"(?is)^((?:.*?{NOT_WORD})?){verb}s?(?={NOT_WORD}|$)", f"$1{new}"))
-    words = F.filter(F.split(doc, f"{WS}+"), lambda w: w != "")
-    n = F.size(words)
-    swapped = F.when(n >= 6, F.concat_ws(" ", F.slice(words, 1, n - 2), F.element_at(words, -1), F.element_at(words, -2)))
-    return F.filter(F.array(swap("return", "validates"), swap("create", "deletes"), swapped), lambda c: c.isNotNull())
+
+    def altered(doc: Column) -> Column:
+        swap = lambda verb, new: F.when(F.rlike(doc, F.lit(rf"(?is)(^|{NOT_WORD}){verb}s?({NOT_WORD}|$)")), F.regexp_replace(doc, rf"(?is)^((?:.*?{NOT_WORD})?){verb}s?(?={NOT_WORD}|$)", f"$1{new}"))
+        return F.filter(F.array(swap("return", "validates"), swap("create", "deletes"), let(F.filter(F.split(doc, f"{WS}+"), lambda w: w != ""), swapped)), lambda c: c.isNotNull())
+
+    def swapped(words: Column) -> Column:
+        n = F.size(words)
+        return F.when(n >= 6, F.concat_ws(" ", F.slice(words, F.lit(1), n - 2), F.get(words, n - 1), F.get(words, n - 2)))
+
+    return let(clean_docstring(chosen), altered)
 
 
 def difficulty_of_source(source: Column) -> Column:

@@ -138,7 +138,7 @@ def discover_known_partitions(spark, sf_dir):
     return P.discover_clients(X.documents(spark, sf_dir), known=["fr", "xx", "en"])
 
 
-@_query("sink_empty_pools", "SELECT DISTINCT user_id % 7 AS client_id, level, 0 AS n FROM events, unnest(['easy', 'medium', 'hard']) t(level)")
+@_query("sink_empty_pools", "SELECT DISTINCT user_id % 7 AS client_id, level, CAST(0 AS BIGINT) AS n FROM events, unnest(['easy', 'medium', 'hard']) t(level)")
 def sink_empty_pools(spark, sf_dir):
     return writers.empty_pools(X.scored(spark, sf_dir).select("client_id").distinct())
 

@@ -269,7 +269,8 @@ def win_argmax_model(spark, sf_dir):
 
 @_query("fn_synthetic_negative")
 def fn_synthetic_negative(spark, sf_dir):
-    return P.first_synthetic(X.pairs(spark, sf_dir), "row_id", "chosen").select("row_id", "synthetic.*")
+    rows = X.code_samples(spark, sf_dir).withColumn("docstring", F.regexp_extract("docstring", "^[^.]*", 0))  # their first sentence
+    return P.first_synthetic(rows, "doc_id", "docstring").select("doc_id", "synthetic.*")
 
 
 @_query("construct_pairs")
