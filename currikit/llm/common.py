@@ -46,5 +46,5 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text as an array, without empty ones."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    """The words of a text as an array."""
+    return let(F.trim(text, F.lit(" \t\n\x0b\x0c\r")), lambda t: F.when(t != "", F.split(t, SPACE)).otherwise(F.array().cast("array<string>")))

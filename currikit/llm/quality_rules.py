@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,20 +53,32 @@ def _word_chars(text: Column) -> Column:
     return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
 
 
-def line_failure(line: Column) -> Column:
-    """The first rule that a line with a word fails: punctuation, navigation or boilerplate; null if none."""
-    n = F.regexp_count(line, F.lit(WORD))
-    marks = F.regexp_count(line, F.lit(r"!!"))
-    symbols = _count_of(line, SYMBOLS)
-    separators = _count_of(line, SEPARATORS)
-    unended = (n >= UNPUNCTUATED_WORDS) & ~F.rlike(line, F.lit(SENTENCE_END))
-    phrases = F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
-    return (
-        F.when((separators >= 1) & (separators * WORDS_PER_SEPARATOR >= n), "navigation")
-        .when((symbols * 2 >= n) & (symbols >= 2) | (marks * 3 >= n) & (marks >= 2) | unended, "punctuation")
-        .when(phrases & (n <= BOILERPLATE_WORDS), "boilerplate")
+def _signs(text: Column) -> Column:
+    """What a whole text has at all: symbols, separators, and boilerplate phrases. Cheap searches that spare nearly all lines a count."""
+    notices = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in BOILERPLATE)))
+    return F.struct(F.rlike(text, F.lit(f"[{SYMBOLS}]")).alias("symbols"), F.rlike(text, F.lit(f"[{SEPARATORS}]")).alias("separators"), notices.alias("notices"))
+
+
+def line_failure(line: Column, signs: Column) -> Column:
+    """The first rule that a line with a word fails: punctuation, navigation or boilerplate; null if none. ``signs`` are its text's."""
+    zero = F.lit(0)
+    counts = F.struct(
+        F.regexp_count(line, F.lit(WORD)).alias("n"),
+        F.when(signs["symbols"], _count_of(line, SYMBOLS)).otherwise(zero).alias("symbols"),
+        F.when(signs["separators"], _count_of(line, SEPARATORS)).otherwise(zero).alias("separators"),
+        F.when(F.contains(line, F.lit("!!")), F.regexp_count(line, F.lit("!!"))).otherwise(zero).alias("marks"),
     )
 
+    def judged(x: Column) -> Column:
+        unended = (x["n"] >= UNPUNCTUATED_WORDS) & ~F.rlike(line, F.lit(SENTENCE_END))
+        return (
+            F.when((x["separators"] >= 1) & (x["separators"] * WORDS_PER_SEPARATOR >= x["n"]), "navigation")
+            .when((x["symbols"] * 2 >= x["n"]) & (x["symbols"] >= 2) | (x["marks"] * 3 >= x["n"]) & (x["marks"] >= 2) | unended, "punctuation")
+            .when(signs["notices"] & (x["n"] <= BOILERPLATE_WORDS) & F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE))), "boilerplate")
+        )
+
+    return let(counts, judged)
+
 
 def _repeat_words(words: Column) -> Column:
     """Words in windows of REPEAT_WINDOW words that the text has twice or more, all occurrences included.
@@ -82,9 +96,11 @@ def _repeat_words(words: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(windows, j)["w"] == x["w"], F.lit(False))
         return F.sort_array(F.transform(F.filter(windows, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
 
+    def ordered(w: Column) -> Column:
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(F.concat_ws(" ", *(F.get(w, i + d) for d in range(k))).alias("w"), i.alias("i"))))
+
     def of(w: Column) -> Column:
-        windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(F.concat_ws(" ", *(F.get(w, i + d) for d in range(k))).alias("w"), i.alias("i"))))
-        return F.when(F.size(w) >= k, let(let(windows, repeated), covered)).otherwise(F.lit(0).cast("long"))
+        return F.when(F.size(w) >= k, let(let(ordered(w), repeated), covered)).otherwise(F.lit(0).cast("long"))
 
     return let(words, of)
 
@@ -108,25 +124,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *carried)
     doc = ["doc"] if whole_rows else []
     wordy = lambda x: F.rlike(x, F.lit(WORD))
-    good_lines = F.filter(F.split("text", "\n"), lambda x: ~wordy(x) | line_failure(x).isNull())
-    found = rows.select(
+    good_lines = let(_signs(F.col("text")), lambda signs: F.filter(F.split("text", "\n"), lambda x: ~wordy(x) | line_failure(x, signs).isNull()))
+    measured = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")))
+    found = F.struct(
         "doc_id",
-        "text",
-        let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))).alias("w"),
+        measured.alias("w"),
+        _count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(F.filter(F.split("text", "\n"), wordy), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.array_join(good_lines, "\n").alias("clean_text"),
+        let(F.array_join(good_lines, "\n"), lambda c: F.struct(c.alias("text"), F.when(F.length(c) == F.length("text"), 0).otherwise(_word_chars(F.col("text")) - _word_chars(c)).cast("long").alias("lost"))).alias("clean"),
         *doc,
     )
-    counted = found.select(
-        "doc_id",
-        F.col("w.n").alias("n_words"),
-        _word_chars(F.col("text")).cast("long").alias("word_chars"),
-        _count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        "n_dup_lines",
-        F.col("w.r").alias("n_repeat_words"),
-        (_word_chars(F.col("text")) - _word_chars(F.col("clean_text"))).cast("long").alias("lost_chars"),
-        "clean_text",
-        *doc,
+    # a row of a generator: a filter on the result can't be pushed below and have it all computed twice
+    counted = rows.select(F.explode(F.array(found)).alias("f")).select(
+        "f.doc_id",
+        "f.w.*",
+        "f.n_symbols",
+        "f.n_dup_lines",
+        F.col("f.clean.lost").alias("lost_chars"),
+        F.col("f.clean.text").alias("clean_text"),
+        *(F.col(f"f.{d}") for d in doc),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     judged = counted.withColumn("base_failed", failed)
