@@ -19,13 +19,14 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from currikit.llm.common import vocabulary
@@ -34,6 +35,8 @@ from currikit.llm.common import vocabulary
 BLOCK_CHARS = 6 << 20
 #: Bytes of text to a shard of words, about.
 SHARD_BYTES = 32 << 20
+#: Words of a row of positions, about: small rows spare the JVM large allocations.
+ROW_WORDS = 100_000
 #: Words that a shard's task remembers; beyond it, a word may be encoded again.
 KEPT_WORDS = 500_000
 
@@ -92,14 +95,22 @@ def _shards_of(words: pa.Array, shards: int) -> tuple[np.ndarray, list[bytes]]:
     return np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % shards, raw
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _opened(data: bytes) -> bytes:
+    return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _packed(parts: list[bytes]) -> bytes:
     """Byte strings as their lengths and their bytes, compressed."""
     sizes = np.fromiter(map(len, parts), "<u4", len(parts))
-    return len(parts).to_bytes(4, "little") + zlib.compress(sizes.tobytes() + b"".join(parts), 1)
+    return len(parts).to_bytes(4, "little") + _squeezed(sizes.tobytes() + b"".join(parts))
 
 
 def _unpacked(data: bytes) -> list[bytes]:
-    n, raw = int.from_bytes(data[:4], "little"), zlib.decompress(data[4:])
+    n, raw = int.from_bytes(data[:4], "little"), _opened(data[4:])
     ends = 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)
     out, at = [], 4 * n
     for end in ends.tolist():
@@ -110,20 +121,34 @@ def _unpacked(data: bytes) -> list[bytes]:
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers as byte planes, compressed: the high planes are nearly all zero."""
-    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return _squeezed(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    raw = np.frombuffer(_opened(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _cuts(counts: list[int], words: int) -> list[tuple[int, int]]:
+    """Runs of documents with about so many words each."""
+    out, begin, total = [], 0, 0
+    for i, n in enumerate(counts, 1):
+        total += n
+        if total >= words or i == len(counts):
+            out.append((begin, i))
+            begin, total = i, 0
+    return out
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes the texts of docs and yields ``finish(ids of the documents, bounds, token ids)`` for each block as rows of schema.
 
     bounds has one more entry than documents: document i has the token ids
     ``bounds[i]`` to ``bounds[i + 1]``. ``finish`` returns columns and gets the
     token-byte table as its last argument.
+
+    docs is read twice, and must come the same way both times, as files and
+    written tables do; what a shuffle makes is best written first.
     """
     spark = docs.sparkSession
     data = vocabulary(spark, vocabulary_path)
@@ -170,40 +195,44 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish
             place[order] = np.arange(len(order))
             crcs = {s: zlib.crc32(_packed([raw[i] for i in np.flatnonzero(shard == s).tolist()])) for s in np.unique(shard).tolist()}
             numbers = place[words.indices.to_numpy()] if len(order) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block_name(number)]),
-                    pa.array([ids], pa.list_(_arrow_type(id_type))),
-                    pa.array([counts], pa.list_(pa.int64())),
-                    pa.array([_planes(numbers)], pa.binary()),
-                    pa.array([list(crcs)], pa.list_(pa.int64())),
-                    pa.array([list(crcs.values())], pa.list_(pa.int64())),
-                ],
-                names=["block", "doc_ids", "counts", "numbers", "shards", "crcs"],
-            )
+            firsts = np.concatenate([[0], np.cumsum(counts)])
+            for k, (i, j) in enumerate(_cuts(counts, ROW_WORDS)):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block_name(number)]),
+                        pa.array([k], pa.int64()),
+                        pa.array([ids[i:j]], pa.list_(_arrow_type(id_type))),
+                        pa.array([np.asarray(counts[i:j], "<i8").tobytes()], pa.binary()),
+                        pa.array([_planes(numbers[firsts[i] : firsts[j]])], pa.binary()),
+                        pa.array([json.dumps(crcs if k == 0 else {})]),
+                    ],
+                    names=["block", "part", "doc_ids", "counts", "numbers", "crcs"],
+                )
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def reassemble(key, here: pa.Table, answers: pa.Table) -> pa.Table:
-        if here.num_rows != 1:
-            raise RuntimeError(f"block {key[0].as_py()} came {here.num_rows} times")
-        block = here.to_pylist()[0]
-        got = {r["shard"]: r for r in answers.to_pylist()}
-        if {s: r["words_crc"] for s, r in got.items()} != dict(zip(block["shards"], block["crcs"], strict=True)):
+        parts = sorted(here.to_pylist(), key=lambda r: r["part"])
+        got = {str(r["shard"]): r for r in answers.to_pylist()}
+        if [r["part"] for r in parts] != list(range(len(parts))) or {s: r["words_crc"] for s, r in got.items()} != json.loads(parts[0]["crcs"]):
             raise RuntimeError(f"block {key[0].as_py()} differs between its two readings")
-        words = [ids for s in sorted(got) for ids in _unpacked(got[s]["ids"])]
-        numbers, counts = _numbers(block["numbers"]), np.asarray(block["counts"], np.int64)
+        words = [ids for s in sorted(got, key=int) for ids in _unpacked(got[s]["ids"])]
         lengths = np.fromiter((len(w) >> 2 for w in words), np.int64, len(words))
-        firsts = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.concatenate([[0], np.cumsum(lengths[numbers])]) if len(numbers) else np.zeros(1, np.int64)
-        joined = pa.array(words, pa.large_binary()).take(pa.array(numbers)) if len(words) else None
-        ids = np.frombuffer(joined.buffers()[2], "<u4", ends[-1]) if joined is not None else np.empty(0, "<u4")
-        return pa.table(finish(block["doc_ids"], ends[firsts], ids, token_bytes(data.value)))
+        table, found, out = token_bytes(data.value), pa.array(words, pa.large_binary()), []
+        for part in parts:
+            numbers, counts = _numbers(part["numbers"]), np.frombuffer(part["counts"], "<i8")
+            ends = np.concatenate([[0], np.cumsum(lengths[numbers])]) if len(numbers) else np.zeros(1, np.int64)
+            bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+            ids = np.frombuffer(found.take(pa.array(numbers)).buffers()[2], "<u4", ends[-1]) if len(numbers) else np.empty(0, "<u4")
+            out.append(pa.table(finish(part["doc_ids"], bounds, ids, table)))
+        return pa.concat_tables(out)
 
     sent = rows.mapInArrow(send, "block string, shard long, words binary")
-    answers = sent.repartition(int(shards), "shard").mapInArrow(answer, "block string, shard long, words_crc long, ids binary")
-    here = rows.mapInArrow(positions, f"block string, doc_ids array<{id_type}>, counts array<long>, numbers binary, shards array<long>, crcs array<long>")
-    return here.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, schema)
+    answers = sent.repartitionById(int(shards), F.col("shard").cast("int")).mapInArrow(answer, "block string, shard long, words_crc long, ids binary")
+    here = rows.mapInArrow(positions, f"block string, part long, doc_ids array<{id_type}>, counts binary, numbers binary, crcs string")
+    # as many partitions as texts need, whatever the session's default
+    parts = int(max(1, -(-total // (2 * block_chars))))
+    return here.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(reassemble, schema)
 
 
 def _arrow_type(name: str) -> pa.DataType:
@@ -276,5 +305,3 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, pattern: str, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     return encode_documents(docs, vocabulary_path, pattern, finish, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, **sizes)
 
-
-__all__ = ["Column", "decode_ids", "encode_digests", "encode_ids"]
