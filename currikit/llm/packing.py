@@ -20,7 +20,7 @@ from currikit.llm.common import WORD, checkpointed
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Items to a shard of ranks, and ranks to a block, about.
-SHARD_ITEMS, RANK_BLOCK = 50_000, 1024
+SHARD_ITEMS, RANK_BLOCK = 10_000, 1024
 
 
 def cost(size: int) -> float:
@@ -121,15 +121,14 @@ def best_fit_packing(docs: DataFrame, length: Column | None = None, id_col: str
     """Where each piece of each row of docs goes: ``(doc_id, piece, start, length, bin_id, bin_size, bin_fill, offset)``.
 
     A document longer than the longest size is cut into pieces of that size and
-    a rest; start and length are in tokens. Every piece is placed once, bins hold at most
-    bin_size, and offsets in a bin follow on without gaps. The histogram that
-    comes to the driver and the plan that goes back are bounded by the longest size, not
-    by the corpus. Ranks are counted in shards of a length, so that one length
-    may have any share of all rows.
+    a rest; start and length are in tokens. Every piece is placed once, bins
+    hold at most bin_size, and offsets in a bin follow on without gaps. The
+    histogram that comes to the driver and the plan that goes back are bounded
+    by the longest size, not by the corpus. Ranks are counted in shards of a
+    length, so that one length may have any share of all rows.
 
     Equal lengths are ranked by a hash of (doc_id, piece), then doc_id (nulls
-    first) and piece; equal rows are
-    separate items. A null text has its end mark only, length 1; rows with a
+    first) and piece; equal rows are separate items. A null text has its end mark only, length 1; rows with a
     null or non-positive length (possible with an own ``length``) have nothing
     to place and give no row; other columns are ignored; an empty table gives
     an empty result.
