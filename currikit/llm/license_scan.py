@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from currikit.llm.common import SPACE, checkpointed
+from currikit.llm.common import checkpointed
 
 #: Short notices of public licences, several wordings each.
 TEMPLATES = (
@@ -38,6 +38,8 @@ CUES = r"(?i)licen[sc]e|spdx|copyright|public domain|permission is hereby|redist
 FILE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 #: Least cosine of a header, and the share of a text's words, in percent, that makes a text without such a name a licence file.
 LEAST_COSINE, FILE_PERCENT = 0.6, 10
+#: Tasks among which a directory's files are dealt.
+SALTS = 32
 
 
 def terms_of(text: str) -> list[str]:
@@ -75,19 +77,21 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     """The licence of each row of files: ``(doc_id, path, license, score, origin, licensed_dir)``.
 
     The lines of a text that speak of licences, wherever they are, make its
-    header (a licence file by name: all its lines). The header's TF-IDF vector, with document frequencies of
-    the templates' terms over all whole texts, is held against each template; the best
-    cosine of ``least_cosine`` or more is the file's own licence (origin
-    ``header``, or ``file`` for a licence file: one by name, or a text of which
-    the header is ``file_percent`` of the words). Other files take the licence
-    of the nearest directory at or above theirs that holds a licence file
-    (origin ``inherited``; several there: the best score, then the first name). Otherwise
-    license, score and licensed_dir are null and origin is ``none``.
+    header (a licence file by name: all its lines). The header's TF-IDF vector,
+    with document frequencies of the templates' terms over all whole texts, is
+    held against each template; the best cosine of ``least_cosine`` or more is
+    the file's own licence (origin ``header``, or ``file`` for a licence file:
+    one by name, or a text of which the header is ``file_percent`` of the
+    words). Other files take the licence of the nearest directory at or above
+    theirs that holds a licence file (origin ``inherited``; several there: the
+    best score, then the first name). Otherwise license, score and licensed_dir
+    are null and origin is ``none``.
 
     Directories, not files, are joined with those above them, so a directory
     with any share of all files is one row there. A null or empty text has no
-    header; a null path has no directory above; a null id stays null; equal rows give equal
-    rows; other columns are ignored; an empty table gives an empty result.
+    header; a null path has no directory above; a null id stays null; equal
+    rows give equal rows; other columns are ignored; an empty table gives an
+    empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("text")).withColumn("named", F.coalesce(F.rlike("path", F.lit(FILE_NAMES)), F.lit(False)))
@@ -104,7 +108,7 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
         F.filter(_terms(F.col("header")), lambda t: F.array_contains(known, t)).alias("terms"),
         (F.regexp_count("header", F.lit(r"[^\x20\x09-\x0D]+")) * 100 >= F.col("n_words") * file_percent).alias("mostly"),
         F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
-        F.xxhash64("doc_id", "path", "header").alias("file"),
+        F.struct(F.xxhash64("doc_id", "path", "header").alias("a"), F.xxhash64(F.lit("second"), "doc_id", "path", "header").alias("b")).alias("file"),
     )
     facts = checkpointed(facts)  # terms and paths only
     n_files = facts.count()
@@ -118,7 +122,9 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     nearest = dirs.select("dir", F.explode(F.array_distinct(above)).alias("above")).join(holders, "above").groupBy("dir").agg(F.max_by(F.struct("above", "d_licence", "d_score"), F.length("above")).alias("n")).select("dir", "n.*")
-    out = own.join(nearest, "dir", "left")
+    # a directory may hold any share of the files: its files are dealt to several tasks, each with the directory's row
+    salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = own.withColumn("salt", F.pmod(F.col("file.a"), F.lit(SALTS)).cast("int")).join(salted, ["dir", "salt"], "left")
     has = F.col("licence").isNotNull()
     return out.select(
         "doc_id",
@@ -129,5 +135,3 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
         F.when(F.col("is_file"), F.col("dir")).when(~has, F.col("above")).alias("licensed_dir"),
     )
 
-
-__all__ = ["SPACE", "TEMPLATES", "VOCABULARY", "license_scan", "terms_of"]

@@ -33,7 +33,8 @@ _SPAN = "struct<start:int,kind:int,end:int,secret:string>"
 def _spans(text: Column, pattern: str, kind, secret, least: int) -> Column:
     """Spans of the leftmost non-overlapping matches with a secret of ``least`` characters.
 
-    Matches and the pieces between them alternate, so that lengths add up to places; code points count.
+    Matches and the pieces between them alternate, so that lengths add up to
+    places; code points count.
     """
 
     def placed(matches: Column) -> Column:
@@ -88,15 +89,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets of each row of docs, with spans in code points, end exclusive.
 
     Columns: doc_id, key (of the row), n_assign, n_access, n_hex (long),
-    base_sha256, spans (string), found (the spans as structs), n_live and n_example (long:
-    candidates of the row that look live, and that are widely copied).
+    base_sha256, spans (string), found (the spans as structs), n_live and
+    n_example (long: candidates of the row that look live, and that are widely
+    copied).
 
     Each candidate's hash is counted over the whole corpus by distinct
-    repositories and owners (by default the source, and the source with the
-    language); distinct (hash, repository, owner) rows are summed where they
-    arise, so a hash that is everywhere costs a row a task and owner. A hash with
-    ``example_owners`` owners is an example. Base kinds are always reported, the
-    added ones only when they are not examples.
+    repositories and owners (by default the source with the language,
+    and the source); distinct (hash, repository, owner) rows are summed where they
+    arise, so a hash that is everywhere costs a row a task and owner. A hash
+    with ``example_owners`` owners is an example. Base kinds are always
+    reported, the added ones only when they are not examples.
 
     A null text has no spans; a null repository or owner counts as one unknown
     one; a null id stays null; equal rows give equal rows; other columns are
