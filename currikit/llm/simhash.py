@@ -96,7 +96,9 @@ def fingerprint_links(distinct: DataFrame, segments: int = SEGMENTS, largest_cel
     fingerprints at most and any two of a cell are linked, so that a star is
     exact there. No partner is dropped, and edges are linear in fingerprints.
     """
-    cells = distinct.select("fp", F.explode(_cells(F.col("fp"), segments)).alias("cell")).select("fp", F.xxhash64("cell.a", "cell.b").alias("cell"))
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("fp").repartition(tasks, F.xxhash64("fp"))  # few bytes, but 33 rows each: not to be merged into few tasks
+    cells = spread.select("fp", F.explode(_cells(F.col("fp"), segments)).alias("cell")).select("fp", F.xxhash64("cell.a", "cell.b").alias("cell"))
     # a clash of cells' hashes only adds members, which the exact check tells apart
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(cells.join(sizes, "cell").select("cell", "fp", "n"))
