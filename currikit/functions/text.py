@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 WS = r"[\s\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 FENCE = "```" + f"(?:{WORD}+)?"
 STRIP = f"^{WS}+|{WS}+$"
@@ -48,7 +49,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without Unicode white space at its ends."""
-    return F.regexp_replace(text, STRIP, "")
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def normalize_text(text: Column) -> Column:
