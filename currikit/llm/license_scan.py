@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from currikit.llm.common import checkpointed
+from currikit.llm.common import SPACE, WORD, checkpointed, let
 
 #: Short notices of public licences, several wordings each.
 TEMPLATES = (
@@ -35,6 +35,11 @@ TEMPLATES = (
 )
 #: A line with one of these is part of a licence header.
 CUES = r"(?i)licen[sc]e|spdx|copyright|public domain|permission is hereby|redistribution and use"
+#: The same cues where a line may break within them, and the words by which a text's windows are placed.
+WRAPPED_CUES = r"(?i)licen[sc]e|spdx|copyright|public\W{1,8}domain|permission\W{1,8}is\W{1,8}hereby|redistribution\W{1,8}and\W{1,8}use"
+CUE_WORDS = r"(?i)licen[sc]e|spdx|copyright|domain|hereby|redistribution"
+#: Words before and after a cue word in its windows. In a run of cue words every so many are taken.
+WIDTHS, RUN = (0, 3, 8, 20, 45), 4
 FILE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 #: Least cosine of a header, and the share of a text's words, in percent, that makes a text without such a name a licence file.
 LEAST_COSINE, FILE_PERCENT = 0.6, 10
@@ -50,11 +55,24 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def _windows(text: Column) -> Column:
+    """Windows of words around the cue words of a text, across its lines."""
+
+    def around(words: Column) -> Column:
+        cue = lambda k: F.coalesce(F.rlike(F.get(words, k), F.lit(CUE_WORDS)), F.lit(False))
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: cue(k) & ((k % RUN == 0) | ~cue(k - 1)))
+        first = lambda k, a: F.greatest(k - a, F.lit(0))
+        window = lambda k, a, b: F.array_join(F.slice(words, first(k, a) + 1, k - first(k, a) + b + 1), " ")
+        return F.flatten(F.transform(places, lambda k: F.array(*(window(k, a, b) for a in WIDTHS for b in WIDTHS))))
+
+    return let(F.split(text, SPACE), around)
+
+
 VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms_of(text)})
 
 
 def _match(headers: DataFrame, n_files: int, frequency: dict[str, int]) -> DataFrame:
-    """The best template for each ``(file, terms)``: cosine of TF-IDF vectors over the templates' vocabulary, which bounds both sides of the join."""
+    """The best template and piece for each file of ``(file, piece, terms)``: cosine of TF-IDF vectors over the templates' vocabulary, which bounds both sides of the join."""
     from math import log
 
     idf = {t: log((1 + n_files) / (1 + frequency.get(t, 0))) + 1 for t in VOCABULARY}
@@ -66,23 +84,26 @@ def _match(headers: DataFrame, n_files: int, frequency: dict[str, int]) -> DataF
     spark = headers.sparkSession
     weights = F.broadcast(spark.createDataFrame(rows, "term string, template int, licence string, weight double"))
     idfs = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    terms = headers.select("file", F.explode("terms").alias("term")).groupBy("file", "term").agg(F.count("*").alias("tf")).join(idfs, "term")
-    norms = terms.groupBy("file").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf"))).alias("norm"))
-    dots = terms.join(weights, "term").groupBy("file", "template", "licence").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "file").select("file", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "template")
-    return scored.groupBy("file").agg(F.max_by(F.struct("licence", "score"), F.struct("score", -F.col("template"))).alias("best")).select("file", "best.*")
+    key = ["file", "piece"]
+    terms = headers.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")).join(idfs, "term")
+    norms = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf"))).alias("norm"))
+    dots = terms.join(weights, "term").groupBy(*key, "template", "licence").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, key).select(*key, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "template")
+    return scored.groupBy("file").agg(F.max_by(F.struct("licence", "score", "piece"), F.struct("score", -F.col("piece"), -F.col("template"))).alias("best")).select("file", "best.*")
 
 
 def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least_cosine: float = LEAST_COSINE, file_percent: int = FILE_PERCENT) -> DataFrame:
     """The licence of each row of files: ``(doc_id, path, license, score, origin, licensed_dir)``.
 
-    The lines of a text that speak of licences, wherever they are, make its
-    header (a licence file by name: all its lines). The header's TF-IDF vector,
-    with document frequencies of the templates' terms over all whole texts, is
-    held against each template; the best cosine of ``least_cosine`` or more is
-    the file's own licence (origin ``header``, or ``file`` for a licence file:
-    one by name, or a text of which the header is ``file_percent`` of the
-    words). Other files take the licence of the nearest directory at or above
+    The lines of a text that speak of licences, wherever they are, make one
+    piece (of a licence file by name: all its lines); windows of words around
+    each cue word, across lines, make others, so that wrapped notices and those
+    within long lines count as well. A piece's TF-IDF vector, with document
+    frequencies of the templates' terms over all whole texts, is held against
+    each template; the best cosine over all pieces, of ``least_cosine`` or more,
+    is the file's own licence (origin ``header``, or ``file`` for a licence
+    file: one by name, or a text of which the best piece is ``file_percent`` of
+    the words). Other files take the licence of the nearest directory at or above
     theirs that holds a licence file (origin ``inherited``; several there: the
     best score, then the first name). Otherwise license, score and licensed_dir
     are null and origin is ``none``.
@@ -95,26 +116,31 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("text")).withColumn("named", F.coalesce(F.rlike("path", F.lit(FILE_NAMES)), F.lit(False)))
-    cue_lines = F.when(F.col("named"), F.col("text")).when(F.rlike("text", F.lit(CUES)), F.array_join(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(CUES))), "\n")).otherwise("")
+    cued = F.rlike("text", F.lit(WRAPPED_CUES))
+    cue_lines = F.when(F.col("named"), F.col("text")).when(cued, F.array_join(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(CUES))), "\n")).otherwise("")
+    pieces = F.array_distinct(F.when(~F.col("named") & cued, F.concat(F.array(cue_lines), _windows(F.col("text")))).otherwise(F.array(cue_lines)))
     known = F.array(*map(F.lit, VOCABULARY))
     present = F.array_intersect(known, F.split(F.lower("text"), "[^a-z0-9]+"))
-    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    read = rows.select("doc_id", "path", "named", present.alias("present"), cue_lines.alias("header"), n_words.alias("n_words"))
-    facts = read.select(
+    count = lambda x: F.regexp_count(x, F.lit(WORD))
+    row_hash = lambda *c: F.xxhash64(*c, "doc_id", "path", "text")
+    facts = rows.select(
         "doc_id",
         "path",
         "named",
-        "present",
-        F.filter(_terms(F.col("header")), lambda t: F.array_contains(known, t)).alias("terms"),
-        (F.regexp_count("header", F.lit(r"[^\x20\x09-\x0D]+")) * 100 >= F.col("n_words") * file_percent).alias("mostly"),
+        present.alias("present"),
+        F.transform(pieces, lambda p: F.struct(F.filter(_terms(p), lambda t: F.array_contains(known, t)).alias("terms"), count(p).alias("n"))).alias("pieces"),
+        count(F.col("text")).alias("n_words"),
         F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
-        F.struct(F.xxhash64("doc_id", "path", "header").alias("a"), F.xxhash64(F.lit("second"), "doc_id", "path", "header").alias("b")).alias("file"),
+        F.struct(row_hash().alias("a"), row_hash(F.lit("second")).alias("b")).alias("file"),
     )
     facts = checkpointed(facts)  # terms and paths only
     n_files = facts.count()
     frequency = {r[0]: r[1] for r in facts.select(F.explode("present").alias("t")).groupBy("t").count().collect()}  # a row a term of the templates
-    best = _match(facts.where(F.size("terms") > 0).dropDuplicates(["file"]), n_files, frequency).where(F.col("score") >= least_cosine)
-    own = checkpointed(facts.select("doc_id", "path", "dir", "file", "named", "mostly").join(best, "file", "left").withColumn("is_file", F.col("licence").isNotNull() & (F.col("named") | F.col("mostly"))))
+    read = facts.dropDuplicates(["file"]).select("file", F.posexplode(F.transform("pieces", lambda p: p["terms"])).alias("piece", "terms")).where(F.size("terms") > 0)
+    best = _match(read, n_files, frequency).where(F.col("score") >= least_cosine)
+    mostly = F.get(F.col("pieces"), F.col("piece"))["n"] * 100 >= F.col("n_words") * file_percent
+    found = facts.select("doc_id", "path", "dir", "file", "named", "n_words", "pieces").join(best, "file", "left").withColumn("is_file", F.col("licence").isNotNull() & (F.col("named") | mostly))
+    own = checkpointed(found.drop("pieces", "n_words", "piece"))
 
     better = F.struct((-F.col("score")).alias("s"), F.col("licence").alias("l"))
     holders = own.where("is_file AND dir IS NOT NULL").groupBy("dir").agg(F.min(better).alias("b")).select(F.col("dir").alias("above"), F.col("b.l").alias("d_licence"), (-F.col("b.s")).alias("d_score"))

@@ -81,3 +81,15 @@ def test_table(spark):
             found += 1
             assert rows[i].license == name and rows[i].score == pytest.approx(score, abs=2e-6)
     assert found > 20
+
+
+def test_wrapped_and_within_long_lines(spark):
+    """A notice counts where its lines are wrapped, and within a line of other words, which isn't a licence file for that."""
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    free = "# This is free and unencumbered software released into the public\n# domain."
+    prose = " ".join("the terms of use and the work of any person in this form are free to you and to a copy of it".split() * 12)
+    plain_prose = "the weather of this and that day was to be the best for a walk\n" * 40
+    rows = [(1, "a/1.txt", f"{mpl}\n{plain_prose}"), (2, "b/2.txt", f"{free}\n{plain_prose}"), (3, "c/3.txt", f"{prose} Released under the MIT License. {prose}"), (4, "c/4.txt", prose), (5, "d/5.txt", f"{prose} a driver must carry a license at all times {prose}")]
+    got = {r.doc_id: (r.license, r.origin) for r in license_scan(files(spark, rows), F.col("path")).collect()}
+    assert [got[1][0], got[2][0]] == ["MPL-2.0", "Unlicense"]
+    assert [got[3], got[4], got[5]] == [("MIT", "header"), (None, "none"), (None, "none")]
