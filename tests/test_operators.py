@@ -215,3 +215,14 @@ def test_margin_without_reference(spark):
     df = spark.createDataFrame([(1, "chosen", "policy", -1.0, 2, False, True), (1, "rejected", "policy", -3.0, 2, True, True), (2, "chosen", "policy", -1.0, 2, False, True)], "i int, response_name string, model string, logp double, tokens long, truncated boolean, valid boolean")
     got = {r.i: (r.client_margin, r.client_truncated, r.client_margin_valid) for r in G.margin_parts(df, "i", reference=False).collect()}
     assert got == {1: (pytest.approx(0.2), True, True), 2: (None, False, False)}
+
+
+def test_synthetic_negative_takes_whole_texts(spark, tmp_path):
+    """The word to alter is in the second sentence."""
+    from currikit.plans import registry
+
+    text, sf = "Is it. It creates.", f"file://{tmp_path}"
+    turns = [(1, 0, "user", "What?"), (1, 1, "assistant", text)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    assert [r.candidate for r in registry.QUERIES["fn_synthetic_negative"](spark, sf).collect()] == ["Is it. It deletes."]
