@@ -121,7 +121,8 @@ def best_fit_packing(docs: DataFrame, length: Column | None = None, id_col: str
     """Where each piece of each row of docs goes: ``(doc_id, piece, start, length, bin_id, bin_size, bin_fill, offset)``.
 
     A document longer than the longest size is cut into pieces of that size and
-    a rest; start and length are in tokens. Every piece is placed once, bins
+    a rest; start and length are in the unit of ``length``, by default words by
+    white space and an end mark, not tokens of a vocabulary. Every piece is placed once, bins
     hold at most bin_size, and offsets in a bin follow on without gaps. The
     histogram that comes to the driver and the plan that goes back are bounded
     by the longest size, not by the corpus. Ranks are counted in shards of a
