@@ -91,9 +91,14 @@ def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(F.col("label").alias("client_id"), key.alias("key"), F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-TENSORS = """px_rank AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
-px_tensor AS (SELECT label AS client_id, 'layers.' || (r // 2) || CASE WHEN r % 2 = 0 THEN '.lora_A' ELSE '.lora_B' END AS key,
-  CAST(i AS INTEGER) AS pos, CAST(embedding[i + 1] AS DOUBLE) AS value FROM px_rank, range(0, 64) t(i))"""
+def _tensor_views(prefix: str) -> str:
+    """Materialised, and made anew where a query needs them twice: a limit above a join of such a view with itself never ends in DuckDB."""
+    return f"""{prefix}_rank AS MATERIALIZED (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
+{prefix}_tensor AS MATERIALIZED (SELECT label AS client_id, 'layers.' || (r // 2) || CASE WHEN r % 2 = 0 THEN '.lora_A' ELSE '.lora_B' END AS key,
+  CAST(i AS INTEGER) AS pos, CAST(embedding[i + 1] AS DOUBLE) AS value FROM {prefix}_rank, range(0, 64) t(i))"""
+
+
+TENSORS = _tensor_views("px")
 
 
 def global_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,7 @@ def global_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensors(spark, sf_dir).where("client_id = 0 AND key NOT IN ('layers.3.lora_A', 'layers.4.lora_B')").select("key", "pos", (F.col("value") * 0.5).alias("value"))
 
 
-STATE = TENSORS + ",\npx_state AS (SELECT key, pos, value * 5e-1 AS value FROM px_tensor WHERE client_id = 0 AND key NOT IN ('layers.3.lora_A', 'layers.4.lora_B'))"
+STATE = f"{TENSORS},\n{_tensor_views('px_first')},\npx_state AS MATERIALIZED (SELECT key, pos, value * 5e-1 AS value FROM px_first_tensor WHERE client_id = 0 AND key NOT IN ('layers.3.lora_A', 'layers.4.lora_B'))"
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

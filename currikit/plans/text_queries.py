@@ -77,7 +77,7 @@ _scalar("flt_special_tokens", lambda x: T.has_special_tokens(F.concat(F.when(F.c
 _scalar("flt_probably_english", lambda x: T.is_probably_english(x), f"(SELECT {D.english('n')} FROM (SELECT {D.normalize('x')} AS n))")
 _scalar("flt_bad_docstring_reason", lambda x: T.bad_docstring_reason(F.concat(F.when(F.col("doc_id") % 6 == 0, "We return x. ").when(F.col("doc_id") % 6 == 1, "I cannot say. ").when(F.col("doc_id") % 6 == 2, "<code>").otherwise(""), F.when(F.col("doc_id") % 17 != 0, x).otherwise(""))), "0")
 ORACLES["flt_bad_docstring_reason"] = f"""WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'We return x. ' WHEN 1 THEN 'I cannot say. ' WHEN 2 THEN '<code>' ELSE '' END || CASE WHEN doc_id % 17 <> 0 THEN text ELSE '' END AS t FROM documents),
-c AS (SELECT doc_id, {D.clean('t')} AS c FROM d) SELECT doc_id, {D.bad_reason('c')} AS value FROM c"""
+c AS MATERIALIZED (SELECT doc_id, {D.clean('t')} AS c FROM d) SELECT doc_id, {D.bad_reason('c')} AS value FROM c"""
 
 
 @_query("flt_codexglue_doc", f"WITH d AS (SELECT doc_id, {D.clean('text')} AS c FROM documents) SELECT doc_id, c AS doc FROM d WHERE len({D.words('c')}) BETWEEN 3 AND 256 AND NOT {D.matches('lower(c)', T.SPECIAL)} AND {D.english('c')}")

@@ -32,3 +32,22 @@ def test_columns_are_pruned_and_filters_pushed(spark):
 def test_checked_queries_stay_in_the_jvm(spark, name):
     plan = plan_of(spark, name)
     assert not re.search("MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|CartesianProduct|NestedLoop", plan), plan
+
+
+def test_state_oracles_end_under_a_limit():
+    """A limit above a join of a view with itself once kept DuckDB busy without end."""
+    import threading
+
+    import duckdb
+
+    from currikit.plans import registry
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    names = [n for n, sql in registry.ORACLES.items() if "px_state" in sql]
+    assert len(names) > 20
+    for name in names:
+        timer = threading.Timer(20, con.interrupt)
+        timer.start()
+        con.execute(f"SELECT * FROM ({registry.ORACLES[name]}) t LIMIT 1000000").fetchall()
+        timer.cancel()
