@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
 from heapq import heapify, heappop, heappush
 
 import regex
@@ -18,6 +17,8 @@ CONTROLS = regex.compile(r"[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
 #: Marks that most often end a piece.
 MARKS = ".,;:!?"
+#: Up to here no letter combines with others, and lower case is the same in every version.
+LATIN = "\u017f"
 #: Pieces longer than this are rare and not kept.
 LONGEST_KEPT = 64
 
@@ -53,7 +54,11 @@ class WordBpe:
     def library(self):
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_str(self.data.decode()).model
+        return Tokenizer.from_str(self.data.decode())
+
+    @functools.cached_property
+    def byte_of(self) -> dict[str, int]:
+        return {x: b for b, x in enumerate(self.letters)}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -61,25 +66,27 @@ class WordBpe:
         return [x for x in WHITE.split(text) if x] if CONTROLS.search(text) else text.split()
 
     def words(self, piece: str) -> list[bytes | int]:
-        """The words of a piece in order; an int is the id of a special token."""
+        """The words of a piece in order; an int is the id of a special token.
+
+        Latin is cut here. What is a letter or a digit beyond it, its lower
+        case and its composed form depend on a version of Unicode, and that of
+        the library counts, so its own normalizer and pre-tokenizer cut other pieces.
+        """
         stem, mark = (piece[:-1], piece[-1]) if piece[-1] in MARKS else (piece, "")
-        if stem.isalpha():  # letters and perhaps a mark, as most pieces are: the pattern would find these
-            low = stem.lower() if stem.isascii() else self.lowered(stem)
-            if low.isalpha():
-                return [low.encode(), mark.encode()] if mark else [low.encode()]
+        if stem.isascii() and stem.isalpha():  # letters and perhaps a mark, as most pieces are: the pattern would find these
+            low = stem.lower().encode()
+            return [low, mark.encode()] if mark else [low]
         out: list[bytes | int] = []
         for part in self.specials.split(piece) if "<" in piece else (piece,):
             if part in self.special:
                 out.append(self.special[part])
+            elif not part or max(part) <= LATIN:
+                out += [w.encode() for w in self.pattern.findall(part.lower())]
             else:
-                out += [w.encode() for w in self.pattern.findall(self.lowered(part))]
+                normal = self.library.normalizer.normalize_str(part)
+                out += [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
-    @staticmethod
-    def lowered(text: str) -> str:
-        """In NFC and lower case, letter by letter: a final capital sigma becomes the same letter as elsewhere."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
     def count(self, word: bytes) -> int:
         """Number of tokens of a word: its bytes less the merges. Symbols form a linked list, pairs wait in a heap by rank, then place; pairs that no longer stand are passed over."""
         n = len(word)
@@ -111,7 +118,7 @@ class WordBpe:
 
     def ids(self, word: bytes) -> list[int]:
         """A word's token ids, by the library's model."""
-        return [t.id for t in self.library.tokenize("".join(map(self.letters.__getitem__, word)))]
+        return [t.id for t in self.library.model.tokenize("".join(map(self.letters.__getitem__, word)))]
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,7 +1,9 @@
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from currikit.llm import queries
+from currikit.llm.token_store import encode_text
 from currikit.llm.token_counts import count_text, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +23,15 @@ def test_like_the_library(spark):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
 
 
+def test_every_code_point():
+    """Ids and counts of a text around each code point of the first planes; beyond them of a sample, as nothing is assigned in most."""
+    library, data = Tokenizer.from_file(PATH), open(PATH, "rb").read()
+    points = [c for c in (*range(0x20000), *range(0x20000, 0x110000, 97)) if not 0xD800 <= c < 0xE000]
+    texts = [f"ab{chr(c)}cd1" for c in points]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encode_text(text, data), "<u4").tolist() == want.ids and count_text(text, data) == len(want.ids), ascii(text)
+
+
 def test_edges(docs):
     rows = token_counts(docs("one", None, "", "one", ids=[1, 2, None, 1]), PATH, limit=0).collect()
     assert sorted([(r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in rows]) == [(-1, 0, 0, False), (1, 3, 1, True), (1, 3, 1, True), (2, 0, 0, False)]
