@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from currikit.llm.common import vocabulary
 
@@ -35,10 +36,14 @@ from currikit.llm.common import vocabulary
 BLOCK_CHARS = 6 << 20
 #: Bytes of text to a shard of words, about.
 SHARD_BYTES = 32 << 20
+#: Shards of words at most, so that a block sends a bounded number of rows; beyond it shards grow, and stream.
+MOST_SHARDS = 32_768
 #: Words of a row of positions, about: small rows spare the JVM large allocations.
 ROW_WORDS = 100_000
-#: Words that a shard's task remembers; beyond it, a word may be encoded again.
-KEPT_WORDS = 500_000
+#: Words that a shard's task remembers. A shard of SHARD_BYTES has fewer; only with more than MOST_SHARDS of them may a word be encoded again.
+KEPT_WORDS = 1_000_000
+#: Packed words below this size go as they are.
+SMALL = 256
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,7 +52,7 @@ def _ranks(data: bytes) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoding(data: bytes, pattern: str):
+def encoding(data: bytes, pattern: str):
     import tiktoken
 
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(data), special_tokens={})
@@ -95,11 +100,23 @@ def _shards_of(words: pa.Array, shards: int) -> tuple[np.ndarray, list[bytes]]:
     return np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % shards, raw
 
 
+def _by_shard(shard: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """The order of a block's words by shard, and each shard's words packed. One sort, whatever the number of shards."""
+    order = np.argsort(shard, kind="stable")
+    names, begins = np.unique(shard[order], return_index=True)
+    ends = [*begins[1:].tolist(), len(order)]
+    listed = order.tolist()
+    return order, [(s, _packed([raw[i] for i in listed[a:b]])) for s, a, b in zip(names.tolist(), begins.tolist(), ends, strict=True)]
+
+
 def _squeezed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Compressed behind the raw length; small ones as they are, behind zero."""
+    return bytes(4) + raw if len(raw) < SMALL else len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _opened(data: bytes) -> bytes:
+    if data[:4] == bytes(4):
+        return data[4:]
     return pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
 
 
@@ -154,7 +171,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish
     data = vocabulary(spark, vocabulary_path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
 
     def block_name(number: int) -> str:
         from pyspark import TaskContext
@@ -165,15 +182,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish
         find = splitter(pattern).findall
         for number, _, _, words in _blocks(batches, find, block_chars):
             shard, raw = _shards_of(words.dictionary, shards)
-            out = []
-            for s in np.unique(shard).tolist():
-                mine = [raw[i] for i in np.flatnonzero(shard == s).tolist()]
-                out.append((block_name(number), s, _packed(mine)))
+            out = [(block_name(number), s, packed) for s, packed in _by_shard(shard, raw)[1]]
             if out:
                 yield _batch(out, ("block", "shard", "words"))
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(data.value, pattern)._encode_single_piece
+        encode = encoding(data.value, pattern)._encode_single_piece
         known: dict[bytes, bytes] = {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -190,10 +204,10 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish
         find = splitter(pattern).findall
         for number, ids, counts, words in _blocks(batches, find, block_chars):
             shard, raw = _shards_of(words.dictionary, shards)
-            order = np.argsort(shard, kind="stable")  # the words as the shards' answers will list them
+            order, sent = _by_shard(shard, raw)  # the words as the shards' answers will list them
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            crcs = {s: zlib.crc32(_packed([raw[i] for i in np.flatnonzero(shard == s).tolist()])) for s in np.unique(shard).tolist()}
+            crcs = {s: zlib.crc32(packed) for s, packed in sent}
             numbers = place[words.indices.to_numpy()] if len(order) else np.empty(0, np.int64)
             firsts = np.concatenate([[0], np.cumsum(counts)])
             for k, (i, j) in enumerate(_cuts(counts, ROW_WORDS)):
@@ -201,7 +215,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish
                     [
                         pa.array([block_name(number)]),
                         pa.array([k], pa.int64()),
-                        pa.array([ids[i:j]], pa.list_(_arrow_type(id_type))),
+                        pa.array([ids[i:j]], pa.list_(id_type)),
                         pa.array([np.asarray(counts[i:j], "<i8").tobytes()], pa.binary()),
                         pa.array([_planes(numbers[firsts[i] : firsts[j]])], pa.binary()),
                         pa.array([json.dumps(crcs if k == 0 else {})]),
@@ -209,7 +223,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish
                     names=["block", "part", "doc_ids", "counts", "numbers", "crcs"],
                 )
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    id_name, id_type = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
 
     def reassemble(key, here: pa.Table, answers: pa.Table) -> pa.Table:
         parts = sorted(here.to_pylist(), key=lambda r: r["part"])
@@ -229,16 +243,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, finish
 
     sent = rows.mapInArrow(send, "block string, shard long, words binary")
     answers = sent.repartitionById(int(shards), F.col("shard").cast("int")).mapInArrow(answer, "block string, shard long, words_crc long, ids binary")
-    here = rows.mapInArrow(positions, f"block string, part long, doc_ids array<{id_type}>, counts binary, numbers binary, crcs string")
+    here = rows.mapInArrow(positions, f"block string, part long, doc_ids array<{id_name}>, counts binary, numbers binary, crcs string")
     # as many partitions as texts need, whatever the session's default
     parts = int(max(1, -(-total // (2 * block_chars))))
     return here.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(reassemble, schema)
 
 
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
 def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
 
@@ -272,15 +282,20 @@ def decode_ids(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         for batch in batches:
             out = []
             for ids in batch.column(1):
-                found = table.take(ids.values) if ids.is_valid else pa.array([], pa.binary())
-                if found.null_count:
-                    raise ValueError("an id is not in the token-byte table")
-                out.append(b"".join(found.to_pylist()))
+                out.append(b"".join(joined(table, ids.values).to_pylist()) if ids.is_valid else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
+def joined(table: pa.Array, ids: pa.Array) -> pa.Array:
+    """The bytes of each id, joined from the token-byte table by position."""
+    found = table.take(ids)
+    if found.null_count:
+        raise ValueError("an id is not in the token-byte table")
+    return found
+
+
 def encode_digests(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for each row: digests of its ids and of what they decode to.
 
@@ -288,9 +303,7 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, pattern: str, id_col:
     """
 
     def finish(doc_ids, bounds, ids, table) -> dict:
-        tokens = table.take(pa.array(ids.astype(np.int64))).cast(pa.large_binary())
-        if tokens.null_count:
-            raise ValueError("an id is not in the token-byte table")
+        tokens = joined(table, pa.array(ids.astype(np.int64))).cast(pa.large_binary())
         offsets = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1) if len(tokens) else np.zeros(1, np.int64)
         text = tokens.buffers()[2] if len(tokens) else b""
         raw, text, sha = memoryview(ids.tobytes()), memoryview(text), hashlib.sha256

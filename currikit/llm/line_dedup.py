@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from currikit.llm.common import WORD, let
+from currikit.llm.common import WORD, fields, let
 
 #: Consecutive lines to a window.
 WINDOW = 3
@@ -95,12 +95,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share an id but not the text are documents of their own. An empty table
     gives an empty result.
     """
-    ranges = covered_lines(docs, id_col, text_col, size).select("key.*", _merged(F.col("ranges")).alias("__gone")).withColumnsRenamed({"doc_id": "__id", "t": "__t"})
-    joined = docs.join(ranges, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__t")), "left")
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(let(F.split(text_col, "\n"), lambda lines: _without(lines, F.col("__gone"))))
-    removed = F.aggregate(F.coalesce("__gone", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
-    columns = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_removed"]
-    return joined.select(*columns, removed.alias("n_removed"))
+    ranges = covered_lines(docs, id_col, text_col, size).select("key", _merged(F.col("ranges")).alias("gone"))
+    joined = docs.select(F.struct("*").alias("row"), _row_key(id_col, text_col).alias("key")).join(ranges, "key", "left")
+    text = F.col("row")[text_col]
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda lines: _without(lines, F.col("gone"))))
+    removed = F.aggregate(F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
+    return joined.select(*fields("row", [c for c in docs.columns if c != "n_removed"], **{text_col: cleaned}), removed.alias("n_removed"))
 
 
 def oracle() -> str:

@@ -9,14 +9,15 @@ runs by their rank among the items of their length.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from currikit.llm.common import WORD, checkpointed
+from currikit.llm.byte_bpe import encoding
+from currikit.llm.common import WORD, checkpointed, vocabulary
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Items to a shard of ranks, and ranks to a block, about.
@@ -113,20 +114,47 @@ def _plan_table(runs: list[Run]) -> pa.Table:
 
 
 def word_tokens(text: Column) -> Column:
-    """Default length of a document: its words and an end mark."""
+    """Length of a document without a vocabulary: its words and an end mark."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long") + 1
 
 
+def token_lengths(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, length)`` for each row: the tokens of its whole text by a vocabulary of ranks, and one for an end id. A null text has the end id only."""
+    data = vocabulary(docs.sparkSession, vocabulary_path)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(data.value, pattern).encode_ordinary
+        for batch in batches:
+            lengths = [1 + (len(encode(t.as_py())) if t.is_valid else 0) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "length"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, length long")
+
+
+def sequences(placed: DataFrame, encoded: DataFrame, end_id: int) -> DataFrame:
+    """What a trainer reads: ``(bin_id, bin_size, ids, ends)`` for each bin of ``placed``, with ends the boundaries of its pieces.
+
+    ``encoded`` has ``(doc_id, ids)`` by the vocabulary that gave the lengths,
+    a row an id. A bin gathers its own tokens only, which its size bounds.
+    """
+    texts = encoded.select("doc_id", F.concat("ids", F.array(F.lit(end_id))).alias("ids"))
+    pieces = placed.join(texts, "doc_id").select("bin_id", "bin_size", F.struct("offset", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids")).alias("p"))
+    bins = pieces.groupBy("bin_id", "bin_size").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return bins.select("bin_id", "bin_size", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.transform("p", lambda x: (x["offset"] + F.size(x["ids"])).cast("int")).alias("ends"))
+
+
 def best_fit_packing(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sizes: Iterable[int] = SIZES, cost: Callable[[int], float] = cost, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Where each piece of each row of docs goes: ``(doc_id, piece, start, length, bin_id, bin_size, bin_fill, offset)``.
 
     A document longer than the longest size is cut into pieces of that size and
-    a rest; start and length are in the unit of ``length``, by default words by
-    white space and an end mark, not tokens of a vocabulary. Every piece is placed once, bins
+    a rest; start, length and offset are in the unit of ``length`` (of
+    ``token_lengths``: tokens of a vocabulary), by default words by white space
+    and an end mark. Every piece is placed once, bins
     hold at most bin_size, and offsets in a bin follow on without gaps. The
     histogram that comes to the driver and the plan that goes back are bounded
     by the longest size, not by the corpus. Ranks are counted in shards of a
-    length, so that one length may have any share of all rows.
+    length, as many as its items need, so that one length may have any share of all rows.
 
     Equal lengths are ranked by a hash of (doc_id, piece), then doc_id (nulls
     first) and piece; equal rows are separate items. A null text has its end mark only, length 1; rows with a
@@ -146,8 +174,10 @@ def best_fit_packing(docs: DataFrame, length: Column | None = None, id_col: str
     block = lambda c: F.floor(c / RANK_BLOCK).cast("long")
     plan = plan.withColumn("p_block", F.explode(F.sequence(block(F.col("p_rank")), block(F.col("p_rank") + F.col("p_each") * F.col("p_bins") - 1))))
 
-    shards = max(1, -(-sum(n for _, n in histogram) // shard_items))
-    items = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # as many shards as a length needs: one for most, and a row of sums for each
+    many = {k: -(-n // shard_items) for k, n in histogram if n > shard_items}
+    shards = F.coalesce(F.get(F.array(*(F.lit(many.get(k, 1)) for k in range(max(many) + 1))), F.col("length").cast("int")), F.lit(1)) if many else F.lit(1)
+    items = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), shards))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = items.groupBy("length", "shard").agg(F.count("*").alias("n")).select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "piece")

@@ -14,9 +14,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REPEAT_WINDOW = 3
-#: Line rules. Separators of menus, phrases of notices that sites repeat, and marks that end a sentence.
+#: Line rules. Separators of menus, phrases of notices that sites repeat (in the languages of the corpus), and marks that end a sentence.
 SEPARATORS = "|»›•·"
 BOILERPLATE = (
+    # English
     "accept all cookies",
     "all rights reserved",
     "click here",
@@ -32,6 +33,39 @@ BOILERPLATE = (
     "terms of use",
     "this site uses cookies",
     "use of cookies",
+    # German
+    "alle cookies akzeptieren",
+    "alle rechte vorbehalten",
+    "cookie-richtlinie",
+    "datenschutzerklärung",
+    "diese website verwendet cookies",
+    "hier klicken",
+    "javascript aktivieren",
+    "nutzungsbedingungen",
+    "zum inhalt springen",
+    "zum newsletter anmelden",
+    # Spanish
+    "aceptar todas las cookies",
+    "activar javascript",
+    "este sitio utiliza cookies",
+    "haga clic aquí",
+    "ir al contenido",
+    "política de cookies",
+    "política de privacidad",
+    "suscríbase a nuestro boletín",
+    "términos de uso",
+    "todos los derechos reservados",
+    # French
+    "abonnez-vous à notre newsletter",
+    "accepter tous les cookies",
+    "activer javascript",
+    "aller au contenu",
+    "ce site utilise des cookies",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "politique relative aux cookies",
+    "tous droits réservés",
 )
 SENTENCE_END = r"[.!?…。！？]"
 #: A line of menu separators: one for so many words at most.
@@ -114,8 +148,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``max_lost_percent`` of its word characters with its lines is rejected.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words (long), base_failed, kept, lost_chars (long), clean_text, and
-    with ``whole_rows`` doc, a struct of all columns of docs. A null text counts as empty: all counts 0, base_failed true, kept false. A
+    n_repeat_words (long), base_failed, kept, lost_chars (long), clean_text, and,
+    with ``whole_rows``, doc, a struct of all columns of docs. A null text counts as empty: all counts 0, base_failed true, kept false. A
     null id stays null; equal rows give equal rows; other columns are ignored;
     an empty table gives an empty result. No shuffle; each text is one row's work.
     """
@@ -137,16 +171,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a row of a generator: a filter on the result can't be pushed below and have it all computed twice
     counted = rows.select(F.explode(F.array(found)).alias("f")).select(
         "f.doc_id",
-        "f.w.*",
+        "f.w.n_words",
+        "f.w.word_chars",
         "f.n_symbols",
         "f.n_dup_lines",
+        "f.w.n_repeat_words",
         F.col("f.clean.lost").alias("lost_chars"),
         F.col("f.clean.text").alias("clean_text"),
         *(F.col(f"f.{d}") for d in doc),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     judged = counted.withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost_percent))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost_percent))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", "clean_text", *doc)
 
 
 def _sql_text(s: str) -> str:

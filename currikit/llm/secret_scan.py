@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from currikit.llm.common import checkpointed, let
+from currikit.llm.common import checkpointed, fields, let, row_key
 
 #: Fixed values of the base kinds, in the order in which spans of one start are listed. Java's (?i) is ASCII only.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,13 +34,35 @@ ADDED = (
     ("url", r"://[^\s/:@]{1,64}:[^\s/:@]{6,64}@", "://"),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in ADDED))
-#: A candidate seen with so many owners is a widely copied example, not somebody's credential.
-EXAMPLE_OWNERS = 3
+#: A candidate seen with so many owners, or with two or more owners in so many repositories (forks and mirrors), is a widely copied example.
+#: What only one owner has is that owner's credential, in however many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 8
+#: Items to a chunk at least.
+SHORT = 64
 REDACTED = "[SECRET]"
 
 _SPAN = "struct<start:int,kind:int,end:int,secret:string>"
 
 
+def _chunked(items: Column, before, step, finish):
+    """An array made by a running sum over ``items``, in about n^1.5 steps for n items.
+
+    ``before(items)`` is the sum over the items ahead of a chunk, and
+    ``step(sum, item)`` gives the next sum and a list of outputs. An aggregate
+    that appends to one array copies it at each step; here the array is cut into
+    chunks of about the square root of its length.
+    """
+
+    def cut(xs: Column, n: Column, size: Column) -> Column:
+        def chunk(j: Column) -> Column:
+            empty = F.struct(before(F.slice(xs, F.lit(1), j * size)).alias("at"), F.array().cast(finish).alias("out"))
+            return F.aggregate(F.slice(xs, j * size + 1, size), empty, step, lambda acc: acc["out"])
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), ((n - 1) / size).cast("int")), chunk))
+
+    return let(items, lambda xs: cut(xs, F.size(xs), F.greatest(F.lit(SHORT), F.ceil(F.sqrt(F.size(xs))).cast("int"))))
+
+
 def _spans(text: Column, pattern: str, kind, secret, least: int) -> Column:
     """Spans of the leftmost non-overlapping matches with a secret of ``least`` characters.
 
@@ -49,16 +71,16 @@ def _spans(text: Column, pattern: str, kind, secret, least: int) -> Column:
     """
 
     def placed(matches: Column) -> Column:
-        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m")))
 
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + x["gap"]
-            end = start + F.length(x["m"])
+            end = start + x["n"]
             span = F.struct(start.alias("start"), kind(x["m"]).alias("kind"), end.alias("end"), secret(x["m"]).alias("secret"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        found = F.filter(F.aggregate(steps, empty, step, lambda acc: acc["out"]), lambda s: F.length(s["secret"]) >= least)
+        ahead = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["gap"] + x["n"])
+        found = F.filter(_chunked(steps, ahead, step, f"array<{_SPAN}>"), lambda s: F.length(s["secret"]) >= least)
         return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
@@ -97,12 +119,45 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    """128 bits that rows share only if they have the same id and text."""
-    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("a"), F.xxhash64(F.lit("second"), F.col(id_col), F.col(text_col)).alias("b"))
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """The hashes of ``(hash, owner, repository)`` that are examples: ``(hash, example)``.
+
+    Equal rows are merged where they arise, then repositories are counted by
+    hash and owner, then owners by hash, so a hash that is everywhere costs a
+    row a task, owner and repository.
+    """
+    by_owner = found.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
+    counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    widely = (F.col("owners") >= example_owners) | (F.col("owners") >= 2) & (F.col("repositories") >= example_repositories)
+    return counts.where(widely).select("hash", F.lit(True).alias("example"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def _scanned(docs: DataFrame, id_col: str, text_col: str, owner: Column | None, repository: Column | None) -> DataFrame:
+    """``(doc_id, key, owner, repository, spans)`` of each row; spans have hashes instead of secrets."""
+    unknown = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    owner = F.col("source") if owner is None else owner
+    repository = owner if repository is None else repository
+    spans = candidates(F.coalesce(F.col(text_col), F.lit("")))
+    scanned = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), unknown(owner).alias("owner"), unknown(repository).alias("repository"), spans.alias("spans"))
+    hashed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["secret"], 256).alias("hash")))
+    return scanned.withColumn("spans", hashed)
+
+
+def candidate_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
+    """``(hash, owner, repository)`` of all candidates of docs, to be counted with those of other tables."""
+    return _scanned(docs, id_col, text_col, owner, repository).select("owner", "repository", F.explode("spans").alias("s")).select("s.hash", "owner", "repository").distinct()
+
+
+def scan_secrets(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner: Column | None = None,
+    repository: Column | None = None,
+    example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
+    also: DataFrame | None = None,
+) -> DataFrame:
     """Secrets of each row of docs, with spans in code points, end exclusive.
 
     Columns: doc_id, key (of the row), n_assign, n_access, n_hex (long),
@@ -111,27 +166,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copied).
 
     Each candidate's hash is counted over the whole corpus by distinct owners
-    (by default the source); distinct (hash, owner) rows are made where they
-    arise, so a hash that is everywhere costs a row a task and owner. A hash
-    with ``example_owners`` owners is an example. A private key's span reaches
+    (by default the source) and repositories (by default the owner); see
+    ``ownership`` for how an example is told from a credential. ``also`` adds
+    ``(hash, owner, repository)`` of another table to the counts, such as that
+    of the raw corpus before its copies were removed. A private key's span reaches
     through its END line and its hash is that of its body, so each key has its
     own owners. Base kinds are always reported, the added ones only when they
     are not examples.
 
-    A null text has no spans; a null owner counts as one unknown one; a null id
+    A null text has no spans; a null owner or repository counts as one unknown one; a null id
     stays null; equal rows give equal rows; other columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result. A text may hold very many matches: n of them
+    take about n^1.5 steps.
     """
-    owner = F.col("source") if owner is None else owner
-    unknown = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    scanned = docs.select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("key"), unknown(owner).alias("owner"), candidates(text).alias("spans"))
-    hashed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["secret"], 256).alias("hash")))
-    rows = checkpointed(scanned.withColumn("spans", hashed))  # spans only: small beside the texts
+    rows = checkpointed(_scanned(docs, id_col, text_col, owner, repository))  # spans only: small beside the texts
 
-    exploded = rows.select("key", "owner", F.explode("spans").alias("s")).select("key", "owner", "s.*")
-    frequency = exploded.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    examples = frequency.where(F.col("owners") >= example_owners).select("hash", F.lit(True).alias("example"))
+    exploded = rows.select("key", "owner", "repository", F.explode("spans").alias("s")).select("key", "owner", "repository", "s.*")
+    owned = exploded.select("hash", "owner", "repository")
+    examples = ownership(owned if also is None else owned.unionByName(also), example_owners, example_repositories)
     judged = exploded.select("key", "start", "kind", "end", "hash").join(examples, "hash", "left").select("key", F.struct("start", "kind", "end", F.coalesce("example", F.lit(False)).alias("example")).alias("s"))
     verdicts = judged.groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("found"))
 
@@ -144,21 +196,36 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _redacted(text: Column, spans: Column) -> Column:
-    """The text with spans, merged where they overlap, replaced."""
+    """The text with spans replaced; one that begins within another goes with it. ``spans`` come by start."""
+    ahead = lambda xs: F.greatest(F.lit(0), F.aggregate(xs, F.lit(0), lambda a, s: F.greatest(a, s["end"])))
 
     def step(acc: Column, s: Column) -> Column:
-        return F.when(
-            s["start"] >= acc["at"],
-            F.struct(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))).alias("out"), s["end"].alias("at")),
-        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
+        cut = F.struct(acc["at"].alias("from"), s["start"].alias("to"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(cut))).otherwise(acc["out"]).alias("out"))
+
+    def pieces(kept: Column) -> Column:
+        """Substrings are searched from a text's start, so they are taken from parts of about the square root of its pieces."""
+        n = F.size(kept)
+        size = F.ceil(F.sqrt(n)).cast("int")
+
+        def part(j: Column) -> Column:
+            def of(mine: Column) -> Column:
+                begin, end = F.get(mine, F.lit(0))["from"], F.get(mine, F.size(mine) - 1)["to"]
+                return let(F.substring(text, begin + 1, end - begin), lambda t: F.transform(mine, lambda x: F.substring(t, x["from"] - begin + 1, x["to"] - x["from"])))
+
+            return let(F.slice(kept, j * size + 1, size), of)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), ((n - 1) / size).cast("int")), part))
 
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(spans, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    rest = let(ahead(spans), lambda at: F.substring(text, at + 1, F.length(text)))
+    kept = _chunked(spans, ahead, step, "array<struct<from:int,to:int>>")
+    return F.concat(let(kept, lambda k: F.array_join(pieces(k), REDACTED)), F.lit(REDACTED), rest)
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every reported span replaced by ``[SECRET]``; a null text stays null, and all rows and columns stay."""
-    found = scan_secrets(docs, id_col, text_col, **options).where(F.size("found") > 0).select(F.col("key").alias("__key"), F.col("found").alias("__found")).dropDuplicates(["__key"])
-    joined = docs.withColumn("__row", _row_key(id_col, text_col)).join(found, F.col("__row") == F.col("__key"), "left")
-    text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(_redacted(F.col(text_col), F.col("__found")))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    found = scan_secrets(docs, id_col, text_col, **options).where(F.size("found") > 0).select("key", "found").dropDuplicates(["key"])
+    joined = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(found, "key", "left")
+    text = F.col("row")[text_col]
+    redacted = F.when(F.col("found").isNull(), text).otherwise(_redacted(text, F.col("found")))
+    return joined.select(*fields("row", docs.columns, **{text_col: redacted}))

@@ -10,22 +10,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from currikit.llm.common import checkpointed
+from currikit.llm.common import checkpointed, row_key
 
 #: Bits of a fingerprint, its segments, words to a shingle, and differing bits of a link at most.
 BITS, SEGMENTS, SHINGLE, DISTANCE = 64, 16, 3, 2
 #: A grid cell with more fingerprints than this is refined instead of compared pair by pair.
 LARGEST_CELL = 64
+#: Settings of similar texts: words to a shingle, least Jaccard similarity of shingle sets, and shingles to a part at least.
+WORDS, SIMILARITY, PART = 5, 0.8, 4
+#: Texts with fewer shingles than this have parts of half that size, as they have few parts.
+SHORT = 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text; zero without words. A bit is 1 if set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of a text with fewer words the whole sequence, of one without none."""
     words = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     parts = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) > shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, 42) for p in parts), np.uint64, len(parts))
+    return np.fromiter((digest(p, 42) for p in parts), np.uint64, len(parts))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text; zero without words. A bit is 1 if set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounded, however long the text
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -165,18 +176,113 @@ def _hex(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the document with the least id stays, once.
+def part_cells(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The cells of a text's parts, of its distinct hashes in order: they are dealt by hash to parts, and each part has a SimHash.
 
-    A component whose rows all have null ids keeps one of them. All columns
-    stay; an empty table gives an empty result.
+    In the segment-popcount grid a part's point, with one bit a segment, is its
+    fingerprint, and at Manhattan distance 0 it has one cell, of its number of
+    parts, its place and its point. The number of parts is a power of two by the
+    number of hashes; a text that could be similar to one with fewer parts has
+    those as well, so that any two similar texts share a level.
     """
-    groups = checkpointed(near_duplicates(docs, id_col, text_col))  # ids and fingerprints
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    stays = docs.join(first, F.col(id_col) == F.col("__first"), "left_semi").dropDuplicates([id_col])
-    nameless = groups.where("component_id IS NULL").select("fingerprint", "root").distinct()
-    if nameless.isEmpty():
-        return stays
-    rows = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    found = fingerprints(rows, "row", "text").select(F.col("doc_id").alias("row"), _hex("fp").alias("fingerprint")).join(nameless, "fingerprint")
-    return stays.unionByName(found.dropDuplicates(["root"]).select("row.*"))
+    n = len(hashes)
+    if not n:
+        return np.empty(0, np.uint64)
+    level = lambda m: max(0, int(m / (PART if m >= SHORT else PART / 2)).bit_length() - 1)
+    out = []
+    for k in {level(n), level(n * similarity)}:
+        place = hashes >> np.uint64(64 - k) if k else np.zeros(n, np.uint64)  # hashes ascend, so parts are runs
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        sizes = np.diff(np.concatenate([begins, [n]]))
+        prints = np.empty(len(begins), np.uint64)
+        for i in range(0, len(begins), 1 << 13):  # bounded, however long the text
+            first, last = begins[i], begins[i + (1 << 13)] if i + (1 << 13) < len(begins) else n
+            bits = np.unpackbits(hashes[first:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, begins[i : i + (1 << 13)] - first, axis=0, dtype=np.int32)
+            prints[i : i + (1 << 13)] = np.packbits(2 * ones > sizes[i : i + (1 << 13), None], axis=1, bitorder="little").view("<u8").ravel()
+        code = (place[begins] + np.uint64(1 << k)) * np.uint64(0x9E3779B97F4A7C15)  # an odd factor: another level or place is another code
+        out.append(prints ^ code)
+    return np.concatenate(out)
+
+
+def _mapped(rows: DataFrame, of, outs: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """``of(text)`` for each of rows, whose last column is the text, beside its other columns."""
+    *keys, _ = rows.columns
+    names, kinds = [*keys, *outs], [t for _, t in outs.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = [of(t.as_py()) for t in part.column(len(keys))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *(pa.array([f[j] for f in found], t) for j, t in enumerate(kinds))], names=names)
+
+    return rows.mapInArrow(run, ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {t}" for n, (t, _) in outs.items())]))
+
+
+def _signed(values: np.ndarray) -> list[int]:
+    return values.view(np.int64).tolist()
+
+
+def similar_links(classes: DataFrame, texts_of, shingle: int = WORDS, similarity: float = SIMILARITY, largest_cell: int = LARGEST_CELL) -> DataFrame:
+    """Edges ``(u, v)`` of different texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    ``classes`` has ``(cls, cells)``, a row for each different text, and
+    ``texts_of`` gives ``(cls, text)`` for a table of ``cls``. Texts that share a cell are candidates, and each candidate
+    pair's sets are compared. Of two similar texts most parts hold common shingles
+    only, so that they share cells unless they have very few. In a cell of more
+    than ``largest_cell`` texts, each is a candidate with the cell's least one
+    only; similar texts meet in many cells, and such groups hang together by the
+    least texts of each. Nothing gathers more than ``largest_cell`` texts of a cell.
+    """
+    cells = classes.select("cls", F.explode("cells").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1")
+    members = checkpointed(cells.join(sizes, "cell"))
+    crowded = members.where((F.col("n") > largest_cell) & (F.col("cls") != F.col("least"))).select(F.col("least").alias("u"), F.col("cls").alias("v"))
+    small = members.where(F.col("n") <= largest_cell).groupBy("cell").agg(F.sort_array(F.collect_list("cls")).alias("xs"))
+    partners = F.transform("xs", lambda x, i: F.struct(x.alias("u"), F.slice("xs", i + 2, F.size("xs")).alias("vs")))
+    paired = small.select(F.explode(partners).alias("p")).select("p.u", F.explode("p.vs").alias("v"))
+    candidates = checkpointed(paired.union(crowded).distinct())
+    wanted = candidates.select(F.col("u").alias("cls")).union(candidates.select(F.col("v").alias("cls"))).distinct()
+    sets = checkpointed(_mapped(texts_of(wanted), lambda t: (_signed(np.unique(shingle_hashes(t, shingle))),), {"set": ("array<long>", pa.list_(pa.int64()))}))
+    both = candidates.join(sets.select(F.col("cls").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("cls").alias("v"), F.col("set").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    counted = both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return counted.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("u", "v")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without near-duplicates: of each group one document stays, that with the least id.
+
+    Texts with the same words (A-Z as a-z) are one class; classes whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more are linked, and
+    groups are the components of links. Candidates come from the segment-popcount
+    grid over SimHashes of a text's parts (``part_cells``): one SimHash over a whole
+    text differs in ten of 64 bits at that similarity, where the grid selects nothing.
+
+    Rows are told apart by id and text: of rows that share an id but not a group
+    one each stays, of equal (id, text) one row. Null ids come last; of a group of
+    null ids the one whose text has the least hash stays. Texts without words are
+    one group. All columns stay; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+
+    def of(text: str | None) -> tuple:
+        hashes = np.unique(shingle_hashes(text, shingle))
+        words = text.encode().lower().split() if text else []
+        return xxhash.xxh3_128_digest(b" ".join(words)), _signed(part_cells(hashes, similarity))
+
+    flat = rows.select("doc_id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "text")
+    found = checkpointed(_mapped(flat, of, {"cls": ("binary", pa.binary()), "cells": ("array<long>", pa.list_(pa.int64()))}))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "a", "b")
+    classes = checkpointed(found.groupBy("cls").agg(F.min(order).alias("first"), F.any_value("cells").alias("cells")))
+    named = classes.select("cls", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return flat.select("a", "b", "text").join(named.join(wanted, "cls"), ["a", "b"]).dropDuplicates(["cls"]).select("cls", "text")
+
+    roots = components(similar_links(classes.select("cls", "cells"), texts_of, shingle, similarity)).withColumnRenamed("node", "cls")
+    grouped = classes.select("cls", "first").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root"))
+    stays = grouped.agg(F.min("first").alias("first")).select(F.struct("first.a", "first.b").alias("key"))
+    keyed = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
+    return keyed.join(stays, "key", "left_semi").dropDuplicates(["key"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -46,6 +46,8 @@ BLOCK = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Text bytes to a shard, about; a table of any size has shards of this size.
 SHARD_BYTES = 24 << 20
+#: Shards whose ids are summed together before the running sum.
+SHARDS_A_GROUP = 1024
 KEPT_WORDS, KEPT_PIECES = 400_000, 500_000
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<BQI")
@@ -195,7 +197,8 @@ def write_token_shards(docs: DataFrame, vocabulary_path: str, folder: str, end_i
 
     A null text is an empty document, a null id comes first, repeated ids are
     kept side by side, an empty table writes no shard, and other columns are
-    ignored.
+    ignored. Ids are cast to long: of another type, those that are no whole
+    numbers count as null or raise an error, by the session's ANSI setting.
     """
     spark = docs.sparkSession
     data = vocabulary(spark, vocabulary_path)
@@ -236,12 +239,15 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: DataFrame) ->
 
     ``manifest`` has ``(shard, path, documents, ids)``, a row a shard. ``start`` counts the
     ids of all documents before this one: of the shards before (a running sum
-    over the manifest) and of those before it in its shard.
+    over groups of shards, then within each group) and of those before it in its shard.
     """
     from pyspark.sql import Window
 
-    order = Window.orderBy("shard")
-    firsts = manifest.select("shard", "path", (F.sum("ids").over(order) - F.col("ids")).alias("first"))
+    grouped = manifest.withColumn("group", F.floor(F.col("shard") / SHARDS_A_GROUP).cast("long"))
+    sums = grouped.groupBy("group").agg(F.sum("ids").alias("n"))
+    before = sums.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("before"))  # one task, but a row for a thousand shards
+    within = F.sum("ids").over(Window.partitionBy("group").orderBy("shard")) - F.col("ids")
+    firsts = grouped.withColumn("within", within).join(before, "group").select("shard", "path", (F.col("before") + F.col("within")).alias("first"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors to a block of candidates, and queries to a block, about.
-CANDIDATES, QUERIES = 8_192, 8_192
+#: Vectors to a block of candidates, and queries to a block, about. Each candidate is copied once for every block of queries.
+CANDIDATES, QUERIES = 8_192, 32_768
 #: Queries that look at the lists together.
 TOGETHER = 256
 #: Depth of the first look into the sorted lists; each further look is twice as deep.

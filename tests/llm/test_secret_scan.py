@@ -1,10 +1,14 @@
 import hashlib
+import random
 import re
+import time
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from currikit.llm import queries
-from currikit.llm.secret_scan import redact_secrets, scan_secrets
+from currikit.llm.secret_scan import KINDS, candidate_owners, redact_secrets, scan_secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 BASE = (("assign", ASSIGN, lambda m: len(m[2]) >= 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16))
@@ -82,3 +86,73 @@ def test_private_keys(spark):
     assert [got[10 + i] for i in range(3)] == [("", 0, 1)] * 3
     text = {r.doc_id: r.text for r in redact_secrets(df).collect()}
     assert all(text[i] == "é [SECRET] end" for i in range(4)) and text[20] == "é [SECRET]\n\nEnd of it." and text[21] == "é [SECRET]"
+
+
+def test_repositories(spark):
+    """One owner's secret stays a credential in however many repositories; with a second owner, many repositories make an example."""
+    one, two, few = ("ghp_" + c * 36 for c in "xyz")
+    rows = [(i, f"x {one}", "me", f"me/{i}") for i in range(20)]
+    rows += [(100 + i, f"x {two}", f"o{i % 2}", f"o{i % 2}/{i}") for i in range(8)]
+    rows += [(200 + i, f"x {few}", f"o{i % 2}", f"o{i % 2}/{i}") for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: (r.n_live, r.n_example) for r in scan_secrets(df, repository=F.col("repo")).collect()}
+    assert got == {i: (0, 1) if 100 <= i < 200 else (1, 0) for i, *_ in rows}
+    # owners of another table count as well
+    lone = df.where("doc_id = 0")
+    also = candidate_owners(spark.createDataFrame([(7, one, f"x{k}", "r") for k in range(2)], df.schema))
+    assert scan_secrets(lone, also=also).first().n_example == 1 and scan_secrets(lone).first().n_example == 0
+
+
+ADDED = {
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "github": r"gh[pousr]_[A-Za-z0-9]{30,}",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "google": r"AIza[A-Za-z0-9_-]{35}",
+    "stripe": r"[rs]k_live_[A-Za-z0-9]{16,}",
+    "url": r"://[^\s/:@]{1,64}:[^\s/:@]{6,64}@",
+}
+
+
+def test_brute_force(spark):
+    """Added spans and both tallies of random texts against a plain version."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789") for _ in range(n))
+    made = [lambda: f"eyJ{letters(9)}.{letters(9)}.{letters(12)}", lambda: f"ghp_{letters(32)}", lambda: f"xoxb-{letters(12)}", lambda: f"AIza{letters(35)}", lambda: f"sk_live_{letters(20)}", lambda: f"http://u:{letters(8)}@h", lambda: letters(24).lower(), lambda: f"AKIA{letters(16).upper()}", lambda: f"token = {letters(14)}"]
+    pool = [rng.choice(made)() for _ in range(60)]
+    rows = []
+    for i in range(150):
+        parts = [rng.choice(pool[: 20 if rng.random() < 0.7 else 60]) if rng.random() < 0.5 else rng.choice(("é", "word", "x_", "😀")) for _ in range(rng.randrange(0, 12))]
+        owner = f"o{rng.randrange(5)}"
+        rows.append((i, " ".join(parts), owner, f"{owner}/{rng.randrange(4)}"))
+    whole = re.compile("|".join(f"(?P<{k}>{p})" for k, p in ADDED.items()), re.A)
+
+    def found(text):
+        base = [(m.start(), KINDS.index(BASE[k][0]), m.end(), m[2] if k == 0 else m[0]) for k, (_, p, good) in enumerate(BASE) for m in p.finditer(text) if good(m)]
+        return sorted(base + [(m.start(), KINDS.index(m.lastgroup), m.end(), m[0]) for m in whole.finditer(text)])
+
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for _, text, owner, repo in rows:
+        for *_, secret in found(text):
+            owners[secret].add(owner)
+            repositories[secret].add((owner, repo))
+    copied = lambda s: len(owners[s]) >= 3 or len(owners[s]) >= 2 and len(repositories[s]) >= 8
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in scan_secrets(df, repository=F.col("repo")).collect()}
+    for i, text, *_ in rows:
+        spans = found(text)
+        kept = [f"{KINDS[k]}:{a}:{b}" for a, k, b, s in spans if k < 3 or not copied(s)]
+        assert got[i] == (",".join(kept), sum(not copied(s) for *_, s in spans), sum(copied(s) for *_, s in spans))
+
+
+def test_very_many_matches(spark):
+    """A text of a megabyte with 50,000 matches, and its redaction, in a few seconds."""
+    text = " ".join(f"é {i:016x}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    scan_secrets(df.limit(0)).collect()
+    began = time.perf_counter()
+    row = scan_secrets(df).first()
+    assert row.n_hex == 50_000 and row.base_sha256 == plain(text)[1]
+    assert time.perf_counter() - began < 20
+    began = time.perf_counter()
+    assert redact_secrets(df).first().text == " ".join(["é [SECRET]"] * 50_000)
+    assert time.perf_counter() - began < 40

@@ -77,10 +77,76 @@ def test_bits():
     assert fingerprint("a b c") == xxhash.xxh64_intdigest("a b c", 42) and simhash.fingerprint("\n") == 0
 
 
-def test_one_of_each(docs):
-    texts = ["one two three", "one two three", "other words here", None, "", "lonely words of its", "lonely words of its", "one two three"]
-    df = docs(*texts, ids=[4, 2, 7, 8, 9, None, None, 2])
+def plain_words(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+
+
+def similar_groups(texts):
+    """The least id of each group of {id: text} by five-word shingles and similarity 0.8, over all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        words = [w for w in plain_words(t) if w]
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    by_size = sorted(sets, key=lambda i: len(sets[i]))
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, i in enumerate(by_size):
+        for j in by_size[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if len(a) < 0.8 * len(b):
+                break
+            common = len(a & b)
+            if a == b or common and common >= 0.8 * (len(a) + len(b) - common):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in sets}
+
+
+def test_similar_texts_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = similar_groups({r.doc_id: r.text for r in docs.collect()})
+    assert len(set(groups.values())) < len(groups)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(groups.values())
+
+
+def test_similar_texts_of_many_kinds(spark):
+    """Near copies of short and long texts, in small groups and in one of hundreds, and pairs just above and below the similarity."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for n in (6, 9, 15, 24, 40, 70, 130, 300, 700):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts.append(base)
+            for edits in range(1, 1 + n // 20 + 1):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(n)] = word()
+                texts.append(copy)
+    base = [word() for _ in range(120)]
+    for _ in range(300):
+        copy = list(base)
+        copy[rng.randrange(120)] = word()
+        texts.append(copy)
+    passage = [word() for _ in range(60)]
+    texts += [[word() for _ in range(150)] + passage + [word() for _ in range(90)] for _ in range(200)]
+    texts = {i: " ".join(t) for i, t in enumerate(rng.sample(texts, len(texts)))}
+    groups = similar_groups(texts)
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == set(groups.values())
+
+
+def test_one_of_each(spark):
+    a, b = "one two three four five six", "alpha beta gamma delta"
+    rows = [(4, a, "x"), (2, a, "y"), (2, a, "y"), (7, b, "z"), (8, None, "x"), (9, "", "x"), (None, "lonely words of its own", "x"), (None, "lonely words of its own", "x"), (1, "totally other words", "x"), (1, "unlike all the others here", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").selectExpr("*", "1 AS row", "2 AS cls", "3 AS fp", "4 AS first", "5 AS a")
     out = simhash.one_of_each(df)
     assert out.columns == df.columns
-    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, [(2, "one two three"), (7, "other words here"), (8, None), (None, "lonely words of its")]))
-    assert simhash.one_of_each(docs()).collect() == []
+    want = [(1, "totally other words"), (1, "unlike all the others here"), (2, a), (7, b), (8, None), (None, "lonely words of its own")]
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
+    assert simhash.one_of_each(df.limit(0)).collect() == []
