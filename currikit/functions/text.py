@@ -113,7 +113,7 @@ def bad_docstring_reason(text: Column, clean: bool = True) -> Column:
 
 def is_probably_english(text: Column) -> Column:
     def english(t: Column) -> Column:
-        other = F.length(F.regexp_replace(t, r"[\x00-\x7F]", ""))
+        other = F.length(F.regexp_replace(t, r"[\x00-\x7F]+", ""))
         return F.rlike(t, F.lit("[A-Za-z]")) & (other / F.greatest(F.length(t), F.lit(1)) < NON_ASCII_LIMIT)
 
     return let(normalize_text(text), english)
@@ -124,9 +124,14 @@ def has_special_tokens(text: Column) -> Column:
     return F.rlike(F.lower(normalize_text(text)), F.lit(SPECIAL))
 
 
+def is_fit_doc(doc: Column, tokens: Column, least: int = 3, most: int = 256) -> Column:
+    """Whether a cleaned docstring has a fitting length, no tags or addresses, and looks English."""
+    return F.size(field_tokens(tokens, doc)).between(least, most) & ~has_special_tokens(doc) & is_probably_english(doc)
+
+
 def passes_doc_filter(docstring: Column, tokens: Column, least: int = 3, most: int = 256) -> Column:
-    """Whether a docstring has a fitting length, no tags or addresses, and looks English."""
-    return let(clean_docstring(docstring), lambda doc: F.size(field_tokens(tokens, doc)).between(least, most) & ~has_special_tokens(doc) & is_probably_english(doc))
+    """The same of a docstring as it comes."""
+    return let(clean_docstring(docstring), lambda doc: is_fit_doc(doc, tokens, least, most))
 
 
 def first_nonblank(*values: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from currikit.sources.shared import spread
+
 
 SOURCES = {"view": "local_easy", "click": "local_medium", "purchase": "local_hard", "signup": "public_easy", "error": "public_medium"}
 
@@ -43,7 +45,7 @@ SCORED = """px_scored AS (SELECT event_id AS row_id, user_id % 7 AS client_id,
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,8 @@ c AS MATERIALIZED (SELECT doc_id, {D.clean('t')} AS c FROM d) SELECT doc_id, {D.
 @_query("flt_codexglue_doc", f"WITH d AS (SELECT doc_id, {D.clean('text')} AS c FROM documents) SELECT doc_id, c AS doc FROM d WHERE len({D.words('c')}) BETWEEN 3 AND 256 AND NOT {D.matches('lower(c)', T.SPECIAL)} AND {D.english('c')}")
 def flt_codexglue_doc(spark, sf_dir):
     none = F.lit(None).cast("array<string>")
-    return X.documents(spark, sf_dir).where(T.passes_doc_filter(F.col("text"), none)).select("doc_id", T.clean_docstring(F.col("text")).alias("doc"))
+    cleaned = X.documents(spark, sf_dir).select("doc_id", F.explode(F.array(T.clean_docstring(F.col("text")))).alias("doc"))  # a generator's row is made once, and no filter goes below it
+    return cleaned.where(T.is_fit_doc(F.col("doc"), none))
 
 
 @_query("flt_nonempty_clean", f"WITH d AS (SELECT doc_id, {D.clean("CASE WHEN lang = 'es' THEN chr(9) || chr(10) ELSE text END")} AS c FROM documents) SELECT doc_id FROM d WHERE c <> ''")
