@@ -1,29 +1,53 @@
+import re
 from collections import Counter
 from math import log
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
 from currikit.llm import queries
-from currikit.llm.license_scan import TEMPLATES, VOCABULARY, license_scan, terms_of
+from currikit.llm.license_scan import TEMPLATES, license_scan
 
 
-def weights(texts):
-    df = Counter(t for x in texts for t in set(terms_of(x)))
-    return {t: log((1 + len(texts)) / (1 + df[t])) + 1 for t in VOCABULARY}
+def terms_of(text):
+    return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def plain_best(header, idf):
-    vector = lambda text: {t: n * idf[t] for t, n in Counter(terms_of(text)).items() if t in idf}
-    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
-    h = vector(header)
-    scores = []
-    for k, (name, text) in enumerate(TEMPLATES):
-        v = vector(text)
-        dot = sum(x * v.get(t, 0) for t, x in h.items())
-        if dot:
-            scores.append((round(dot / norm(h) / norm(v), 6), -k, name))
-    return max(scores, default=(0, 0, None))
+def weights(texts):
+    df = Counter(t for x in texts for t in set(terms_of(x)))
+    return {t: log((1 + len(texts)) / (1 + df[t])) + 1 for t in {t for _, x in TEMPLATES for t in terms_of(x)}}
+
+
+def plain_pieces(text):
+    """Header, paragraphs with a cue (together and each), and windows of words around cue words; the cues as the operator's docstring means them."""
+    cue = re.compile(r"licen[sc]e|spdx|copyright|public\W{1,8}domain|(permission\W{1,8})?is\W{1,8}hereby(\W{1,8}granted)?|redistribution\W{1,8}and\W{1,8}use", re.I | re.A)
+    strict = lambda x: any(m[1] or m[2] or "hereby" not in m[0].lower() for m in cue.finditer(x))
+    if not strict(text):
+        return []
+    paragraphs = re.split(r"\n[^\n\w]*\n", text)
+    mine = [p for p in paragraphs if strict(p)]
+    out = [paragraphs[0], "\n".join(mine), *mine]
+    words = re.split("[ \t\n\x0b\x0c\r]+", text)
+    hits = [bool(re.search("licen[sc]e|spdx|copyright|domain|hereby|redistribution", w, re.I)) for w in words]
+    for k, hit in enumerate(hits):
+        if hit and (k % 4 == 0 or not (k and hits[k - 1])):
+            out += [" ".join(words[max(0, k - a) : k + b + 1]) for a in (0, 3, 8, 20, 45) for b in (0, 3, 8, 20, 45)]
+    return out
+
+
+def plain_best(text, idf):
+    other = median(idf.values())
+    best = (0, None)
+    for piece in plain_pieces(text):
+        tf = Counter(terms_of(piece))
+        norm = (sum((n * idf[t]) ** 2 for t, n in tf.items() if t in idf) + sum(n for t, n in tf.items() if t not in idf) * other * other) ** 0.5
+        for name, template in TEMPLATES:
+            v = {t: n * idf[t] for t, n in Counter(terms_of(template)).items()}
+            dot = sum(n * idf[t] * v.get(t, 0) for t, n in tf.items() if t in idf)
+            if dot:
+                best = max(best, (round(dot / norm / sum(x * x for x in v.values()) ** 0.5, 6), name), key=lambda x: x[0])
+    return best
 
 
 def files(spark, rows):
@@ -64,17 +88,12 @@ def test_inheritance(spark):
 
 
 def test_table(spark):
-    import re
-
-    from currikit.llm.license_scan import CUES
-
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = {r.doc_id: r for r in queries.op5_license_scan(spark, "/root/testdata/sf0.01").collect()}
     assert rows.keys() == texts.keys()
     found, idf = 0, weights(list(texts.values()))
     for i, text in texts.items():
-        header = "\n".join(x for x in text.split("\n") if re.search(CUES, x))
-        score, _, name = plain_best(header, idf)
+        score, name = plain_best(text, idf)
         own = rows[i].origin in ("file", "header")
         assert own == (score >= 0.6)
         if own:
@@ -93,3 +112,20 @@ def test_wrapped_and_within_long_lines(spark):
     got = {r.doc_id: (r.license, r.origin) for r in license_scan(files(spark, rows), F.col("path")).collect()}
     assert [got[1][0], got[2][0]] == ["MPL-2.0", "Unlicense"]
     assert [got[3], got[4], got[5]] == [("MIT", "header"), (None, "none"), (None, "none")]
+
+
+def test_other_licences_and_whole_texts(spark):
+    """A licence that words outside the notice's change is not taken for its namesake; whole texts are told apart."""
+    whole = dict((name, text) for name, text in TEMPLATES if len(text) > 600)
+    plain_prose = "the weather of this and that day was to be the best for a walk\n" * 40
+    rows = [
+        (1, "a/1.txt", f"# Licensed under the GNU Affero General Public\n# License, version 3.\n\n{plain_prose}"),
+        (2, "b/2.txt", f"/*\n * Copyright 2020 Somebody Else\n *\n * {whole['BSD-3-Clause']}\n */\n{plain_prose}"),
+        (3, "c/LICENSE", f"Copyright (c) 2021 Some Person\n\n{whole['MIT']}"),
+        (4, "d/4.txt", f"Copyright 2019 A. Person\n\n{whole['ISC']}\n\n{plain_prose}"),
+        (5, "e/5.txt", f"Copyright 2019 A. Person. All of the work is mine, and a license must be asked for by letter.\n\n{plain_prose}"),
+        (6, "f/6.txt", f"{whole['BSD-2-Clause']}\n\n{plain_prose}"),
+        (7, "g/7.txt", f"{plain_prose}\n// Copyright 2012 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\n{plain_prose}"),
+    ]
+    got = {r.doc_id: r.license for r in license_scan(files(spark, rows), F.col("path")).collect()}
+    assert got == {1: "AGPL-3.0", 2: "BSD-3-Clause", 3: "MIT", 4: "ISC", 5: None, 6: "BSD-2-Clause", 7: "BSD-3-Clause"}
