@@ -73,9 +73,10 @@ class WordBpe:
         the library counts, so its own normalizer and pre-tokenizer cut other pieces.
         """
         stem, mark = (piece[:-1], piece[-1]) if piece[-1] in MARKS else (piece, "")
-        if stem.isascii() and stem.isalpha():  # letters and perhaps a mark, as most pieces are: the pattern would find these
-            low = stem.lower().encode()
-            return [low, mark.encode()] if mark else [low]
+        if stem.isalpha() and (stem.isascii() or max(stem) <= LATIN):  # letters and perhaps a mark, as most pieces are: the pattern would find these
+            low = stem.lower()
+            if low.isalpha():
+                return [low.encode(), mark.encode()] if mark else [low.encode()]
         out: list[bytes | int] = []
         for part in self.specials.split(piece) if "<" in piece else (piece,):
             if part in self.special:

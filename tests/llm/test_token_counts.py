@@ -27,7 +27,7 @@ def test_every_code_point():
     """Ids and counts of a text around each code point of the first planes; beyond them of a sample, as nothing is assigned in most."""
     library, data = Tokenizer.from_file(PATH), open(PATH, "rb").read()
     points = [c for c in (*range(0x20000), *range(0x20000, 0x110000, 97)) if not 0xD800 <= c < 0xE000]
-    texts = [f"ab{chr(c)}cd1" for c in points]
+    texts = [f"ab{chr(c)}cd {chr(c)}1" for c in points]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(encode_text(text, data), "<u4").tolist() == want.ids and count_text(text, data) == len(want.ids), ascii(text)
 
