@@ -220,6 +220,10 @@ def _mapped(rows: DataFrame, of, outs: dict[str, tuple[str, pa.DataType]]) -> Da
     return rows.mapInArrow(run, ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {t}" for n, (t, _) in outs.items())]))
 
 
+def _short(cls: str) -> Column:
+    return F.conv(F.hex(F.substring(cls, 1, 7)), 16, 10).cast("long")
+
+
 def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
@@ -228,26 +232,30 @@ def similar_links(classes: DataFrame, texts_of, shingle: int = WORDS, similarity
     """Edges ``(u, v)`` of different texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``classes`` has ``(cls, cells)``, a row for each different text, and
-    ``texts_of`` gives ``(cls, text)`` for a table of ``cls``. Texts that share a cell are candidates, and each candidate
+    ``texts_of`` gives ``(cls, text)`` for a table of ``short``, the first 56 bits of
+    ``cls``, by which cells and candidates go. Texts that share
+    a cell are candidates, and each candidate
     pair's sets are compared. Of two similar texts most parts hold common shingles
     only, so that they share cells unless they have very few. In a cell of more
     than ``largest_cell`` texts, each is a candidate with the cell's least one
     only; similar texts meet in many cells, and such groups hang together by the
     least texts of each. Nothing gathers more than ``largest_cell`` texts of a cell.
     """
-    cells = classes.select("cls", F.explode("cells").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1")
+    cells = classes.select(_short("cls").alias("x"), F.explode("cells").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")  # no more than the cell and its count is shuffled, and most cells end here
     members = checkpointed(cells.join(sizes, "cell"))
-    crowded = members.where((F.col("n") > largest_cell) & (F.col("cls") != F.col("least"))).select(F.col("least").alias("u"), F.col("cls").alias("v"))
-    small = members.where(F.col("n") <= largest_cell).groupBy("cell").agg(F.sort_array(F.collect_list("cls")).alias("xs"))
+    crowd = members.where(F.col("n") > largest_cell).select("cell", "x")
+    crowded = crowd.join(crowd.groupBy("cell").agg(F.min("x").alias("u")), "cell").select("u", F.col("x").alias("v")).where("u <> v")
+    small = members.where(F.col("n") <= largest_cell).groupBy("cell").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     partners = F.transform("xs", lambda x, i: F.struct(x.alias("u"), F.slice("xs", i + 2, F.size("xs")).alias("vs")))
     paired = small.select(F.explode(partners).alias("p")).select("p.u", F.explode("p.vs").alias("v"))
     candidates = checkpointed(paired.union(crowded).distinct())
-    wanted = candidates.select(F.col("u").alias("cls")).union(candidates.select(F.col("v").alias("cls"))).distinct()
+    wanted = candidates.select(F.col("u").alias("short")).union(candidates.select(F.col("v").alias("short"))).distinct()
     sets = checkpointed(_mapped(texts_of(wanted), lambda t: (_signed(np.unique(shingle_hashes(t, shingle))),), {"set": ("array<long>", pa.list_(pa.int64()))}))
-    both = candidates.join(sets.select(F.col("cls").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("cls").alias("v"), F.col("set").alias("b")), "v")
+    side = lambda short, cls, of: sets.select(_short("cls").alias(short), F.col("cls").alias(cls), F.col("set").alias(of))
+    both = candidates.join(side("u", "cu", "a"), "u").join(side("v", "cv", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
-    counted = both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    counted = both.select(F.col("cu").alias("u"), F.col("cv").alias("v"), common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
     return counted.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("u", "v")
 
 
@@ -279,7 +287,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classes.select("cls", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        return flat.select("a", "b", "text").join(named.join(wanted, "cls"), ["a", "b"]).dropDuplicates(["cls"]).select("cls", "text")
+        return flat.select("a", "b", "text").join(named.withColumn("short", _short("cls")).join(wanted, "short").select("cls", "a", "b"), ["a", "b"]).dropDuplicates(["cls"]).select("cls", "text")
 
     roots = components(similar_links(classes.select("cls", "cells"), texts_of, shingle, similarity)).withColumnRenamed("node", "cls")
     grouped = classes.select("cls", "first").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root"))
