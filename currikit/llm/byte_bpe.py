@@ -40,8 +40,8 @@ SHARD_BYTES = 32 << 20
 MOST_SHARDS = 32_768
 #: Words of a row of positions, about: small rows spare the JVM large allocations.
 ROW_WORDS = 100_000
-#: Words that a shard's task remembers. A shard of SHARD_BYTES has fewer; only with more than MOST_SHARDS of them may a word be encoded again.
-KEPT_WORDS = 1_000_000
+#: Words that a shard's task remembers; a word beyond them is encoded again, with the same ids.
+KEPT_WORDS = 500_000
 #: Packed words below this size go as they are.
 SMALL = 256
 
