@@ -104,7 +104,7 @@ def _by_shard(shard: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, list[tup
     """The order of a block's words by shard, and each shard's words packed. One sort, whatever the number of shards."""
     order = np.argsort(shard, kind="stable")
     names, begins = np.unique(shard[order], return_index=True)
-    ends = [*begins[1:].tolist(), len(order)]
+    ends = [*begins[1:].tolist(), len(order)][: len(begins)]  # a block without words has none
     listed = order.tolist()
     return order, [(s, _packed([raw[i] for i in listed[a:b]])) for s, a, b in zip(names.tolist(), begins.tolist(), ends, strict=True)]
 
