@@ -228,18 +228,48 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def similar_links(classes: DataFrame, texts_of, shingle: int = WORDS, similarity: float = SIMILARITY, largest_cell: int = LARGEST_CELL) -> DataFrame:
-    """Edges ``(u, v)`` of different texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def _verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` of classes for those candidate pairs ``(u, v)`` of shorts whose sets are similar."""
+    side = lambda short, cls, of: sets.select(_short("cls").alias(short), F.col("cls").alias(cls), F.col("set").alias(of))
+    both = candidates.join(side("u", "cu", "a"), "u").join(side("v", "cv", "b"), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    counted = both.select(F.col("cu").alias("u"), F.col("cv").alias("v"), common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return counted.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("u", "v")
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(u, v)`` of texts ``(x, g)`` in different groups g that could be similar, by their rarest shingles.
+
+    Two sets of the given similarity share that part of the larger, so that each
+    one's rarest hashes beyond it, and one more, hold a common hash. Hashes that
+    one group alone has make no pair.
+    """
+    own = rest.join(sets.select(_short("cls").alias("x"), "cls", "set"), "x")
+    own = own.select("x", "g", "cls", F.size("set").alias("size"), F.explode("set").alias("h"))
+    counts = own.groupBy("h").agg(F.count("*").alias("n"), (F.min("g") < F.max("g")).alias("mixed"))
+    rarest = own.join(counts, "h").groupBy("cls", "x", "g", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h", "mixed"))).alias("hs"))
+    beyond = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1
+    held = rarest.select("x", "g", "size", F.explode(F.slice("hs", F.lit(1), beyond)).alias("s")).where("s.mixed").select("x", "g", "size", "s.h")
+    u, v = (held.select(F.col("x").alias(n), F.col("g").alias(f"g{n}"), F.col("size").alias(f"n{n}"), "h") for n in "uv")
+    alike = (F.col("u") < F.col("v")) & (F.col("gu") != F.col("gv")) & (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
+    return u.join(v, "h").where(alike).select("u", "v").distinct()
+
+
+def similar_roots(classes: DataFrame, texts_of, shingle: int = WORDS, similarity: float = SIMILARITY, largest_cell: int = LARGEST_CELL) -> DataFrame:
+    """``(node, root)`` of the components of different texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``classes`` has ``(cls, cells)``, a row for each different text, and
     ``texts_of`` gives ``(cls, text)`` for a table of ``short``, the first 56 bits of
-    ``cls``, by which cells and candidates go. Texts that share
-    a cell are candidates, and each candidate
-    pair's sets are compared. Of two similar texts most parts hold common shingles
-    only, so that they share cells unless they have very few. In a cell of more
-    than ``largest_cell`` texts, each is a candidate with the cell's least one
-    only; similar texts meet in many cells, and such groups hang together by the
-    least texts of each. Nothing gathers more than ``largest_cell`` texts of a cell.
+    ``cls``, by which cells and candidates go. Texts that share a cell are
+    candidates, and each candidate pair's sets are compared. Of two similar texts
+    most parts hold common shingles only, so that they share cells unless they
+    have very few.
+
+    In a cell of more than ``largest_cell`` texts, each is first a candidate with
+    the cell's least one only. Where that leaves such a cell in one component, no
+    link of its texts could change the groups. The texts of all other such
+    cells are joined exactly, between components, by their rarest shingles, so
+    that no link is lost; nothing gathers more than ``largest_cell`` texts of a cell.
     """
     cells = classes.select(_short("cls").alias("x"), F.explode("cells").alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")  # no more than the cell and its count is shuffled, and most cells end here
@@ -252,14 +282,17 @@ def similar_links(classes: DataFrame, texts_of, shingle: int = WORDS, similarity
     candidates = checkpointed(paired.union(crowded).distinct())
     wanted = candidates.select(F.col("u").alias("short")).union(candidates.select(F.col("v").alias("short"))).distinct()
     sets = checkpointed(_mapped(texts_of(wanted), lambda t: (_signed(np.unique(shingle_hashes(t, shingle))),), {"set": ("array<long>", pa.list_(pa.int64()))}))
-    side = lambda short, cls, of: sets.select(_short("cls").alias(short), F.col("cls").alias(cls), F.col("set").alias(of))
-    both = candidates.join(side("u", "cu", "a"), "u").join(side("v", "cv", "b"), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    counted = both.select(F.col("cu").alias("u"), F.col("cv").alias("v"), common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return counted.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("u", "v")
+    roots = components(_verified(candidates, sets, similarity))
+    grouped = crowd.join(roots.select(_short("node").alias("x"), _short("root").alias("g")), "x", "left").select("cell", "x", F.coalesce("g", "x").alias("g"))
+    unsettled = grouped.groupBy("cell").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most")
+    rest = checkpointed(grouped.join(unsettled, "cell", "left_semi").select("x", "g").distinct())
+    if rest.isEmpty():
+        return roots
+    more = checkpointed(_prefix_pairs(rest, sets, similarity).join(candidates, ["u", "v"], "left_anti"))
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_verified(more, sets, similarity)))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, largest_cell: int = LARGEST_CELL) -> DataFrame:
     """docs without near-duplicates: of each group one document stays, that with the least id.
 
     Texts with the same words (A-Z as a-z) are one class; classes whose sets of
@@ -289,7 +322,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def texts_of(wanted: DataFrame) -> DataFrame:
         return flat.select("a", "b", "text").join(named.withColumn("short", _short("cls")).join(wanted, "short").select("cls", "a", "b"), ["a", "b"]).dropDuplicates(["cls"]).select("cls", "text")
 
-    roots = components(similar_links(classes.select("cls", "cells"), texts_of, shingle, similarity)).withColumnRenamed("node", "cls")
+    roots = similar_roots(classes.select("cls", "cells"), texts_of, shingle, similarity, largest_cell).withColumnRenamed("node", "cls")
     grouped = classes.select("cls", "first").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root"))
     stays = grouped.agg(F.min("first").alias("first")).select(F.struct("first.a", "first.b").alias("key"))
     keyed = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))

@@ -137,8 +137,26 @@ def test_similar_texts_of_many_kinds(spark):
     texts += [[word() for _ in range(150)] + passage + [word() for _ in range(90)] for _ in range(200)]
     texts = {i: " ".join(t) for i, t in enumerate(rng.sample(texts, len(texts)))}
     groups = similar_groups(texts)
-    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got == set(groups.values())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for largest in (simhash.LARGEST_CELL, 3):
+        assert {r.doc_id for r in simhash.one_of_each(docs, largest_cell=largest).collect()} == set(groups.values())
+
+
+def test_links_past_the_least_of_crowded_cells(spark):
+    """Many unlike texts share a passage and so a cell; similar ones among them have another text as that cell's least."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(36)], []
+    for k in range(60):
+        own = [word() for _ in range(9)]
+        texts.append(passage + own)
+        if k % 3 == 0:
+            texts.append(passage + own[:-1] + [word()])
+    texts = {i: " ".join(t) for i, t in enumerate(rng.sample(texts, len(texts)))}
+    groups = similar_groups(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for largest in (simhash.LARGEST_CELL, 2):
+        assert {r.doc_id for r in simhash.one_of_each(docs, largest_cell=largest).collect()} == set(groups.values())
 
 
 def test_one_of_each(spark):
