@@ -240,19 +240,23 @@ def _verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> Data
 def _prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``(u, v)`` of texts ``(x, g)`` in different groups g that could be similar, by their rarest shingles.
 
-    Two sets of the given similarity share that part of the larger, so that each
-    one's rarest hashes beyond it, and one more, hold a common hash. Hashes that
-    one group alone has make no pair.
+    All sets are ordered by the frequency of hashes, then the hash. In two similar
+    sets as much as both sizes ask for must follow from the first common hash on,
+    itself included, so that it lies among the first of the smaller set and of
+    the larger one, and a pair whose hash has less after it is none. Hashes that one
+    group alone has make no pair.
     """
     own = rest.join(sets.select(_short("cls").alias("x"), "cls", "set"), "x")
     own = own.select("x", "g", "cls", F.size("set").alias("size"), F.explode("set").alias("h"))
     counts = own.groupBy("h").agg(F.count("*").alias("n"), (F.min("g") < F.max("g")).alias("mixed"))
     rarest = own.join(counts, "h").groupBy("cls", "x", "g", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h", "mixed"))).alias("hs"))
-    beyond = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1
-    held = rarest.select("x", "g", "size", F.explode(F.slice("hs", F.lit(1), beyond)).alias("s")).where("s.mixed").select("x", "g", "size", "s.h")
-    u, v = (held.select(F.col("x").alias(n), F.col("g").alias(f"g{n}"), F.col("size").alias(f"n{n}"), "h") for n in "uv")
-    alike = (F.col("u") < F.col("v")) & (F.col("gu") != F.col("gv")) & (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
-    return u.join(v, "h").where(alike).select("u", "v").distinct()
+    held = rarest.select("x", "g", "size", F.posexplode("hs").alias("at", "s")).where("s.mixed").select("x", "g", "size", "s.h", (F.col("size") - F.col("at")).alias("left"))
+    share, little = 2 * similarity / (1 + similarity), 1e-9
+    sides = {"u": share, "v": similarity}  # of its own size, what a text needs in common with a larger one, and with a smaller one
+    u, v = (held.where(F.col("left") >= least * F.col("size") - little).select(F.struct("size", "x").alias(n), F.col("g").alias(f"g{n}"), F.col("left").alias(f"left{n}"), "h") for n, least in sides.items())
+    enough = F.least("leftu", "leftv") >= share / 2 * (F.col("u.size") + F.col("v.size")) - little
+    alike = (F.col("u") < F.col("v")) & (F.col("gu") != F.col("gv")) & (F.col("u.size") >= similarity * F.col("v.size") - little) & enough
+    return u.join(v, "h").where(alike).select(F.least("u.x", "v.x").alias("u"), F.greatest("u.x", "v.x").alias("v")).distinct()
 
 
 def similar_roots(classes: DataFrame, texts_of, shingle: int = WORDS, similarity: float = SIMILARITY, largest_cell: int = LARGEST_CELL) -> DataFrame:
