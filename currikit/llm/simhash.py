@@ -275,11 +275,11 @@ def similar_roots(classes: DataFrame, texts_of, shingle: int = WORDS, similarity
     cells are joined exactly, between components, by their rarest shingles, so
     that no link is lost; nothing gathers more than ``largest_cell`` texts of a cell.
     """
-    cells = classes.select(_short("cls").alias("x"), F.explode("cells").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")  # no more than the cell and its count is shuffled, and most cells end here
+    cells = classes.select(_short("cls").alias("x"), F.explode("cells").alias("cell")).repartition("cell")  # shuffled once for both uses, which need the same columns
+    sizes = cells.groupBy("cell").agg(F.count("x").alias("n"), F.min("x").alias("least")).where("n > 1")
     members = checkpointed(cells.join(sizes, "cell"))
-    crowd = members.where(F.col("n") > largest_cell).select("cell", "x")
-    crowded = crowd.join(crowd.groupBy("cell").agg(F.min("x").alias("u")), "cell").select("u", F.col("x").alias("v")).where("u <> v")
+    crowd = members.where(F.col("n") > largest_cell).select("cell", "x", "least")
+    crowded = crowd.select(F.col("least").alias("u"), F.col("x").alias("v")).where("u <> v")
     small = members.where(F.col("n") <= largest_cell).groupBy("cell").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     partners = F.transform("xs", lambda x, i: F.struct(x.alias("u"), F.slice("xs", i + 2, F.size("xs")).alias("vs")))
     paired = small.select(F.explode(partners).alias("p")).select("p.u", F.explode("p.vs").alias("v"))
@@ -318,7 +318,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return xxhash.xxh3_128_digest(b" ".join(words)), _signed(part_cells(hashes, similarity))
 
     flat = rows.select("doc_id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "text")
-    found = checkpointed(_mapped(flat, of, {"cls": ("binary", pa.binary()), "cells": ("array<long>", pa.list_(pa.int64()))}))
+    found = _mapped(flat, of, {"cls": ("binary", pa.binary()), "cells": ("array<long>", pa.list_(pa.int64()))})
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "a", "b")
     classes = checkpointed(found.groupBy("cls").agg(F.min(order).alias("first"), F.any_value("cells").alias("cells")))
     named = classes.select("cls", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
