@@ -328,6 +328,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     roots = similar_roots(classes.select("cls", "cells"), texts_of, shingle, similarity, largest_cell).withColumnRenamed("node", "cls")
     grouped = classes.select("cls", "first").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root"))
-    stays = grouped.agg(F.min("first").alias("first")).select(F.struct("first.a", "first.b").alias("key"))
-    keyed = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
-    return keyed.join(stays, "key", "left_semi").dropDuplicates(["key"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    stays = grouped.agg(F.min("first").alias("first")).select("first.a", "first.b")  # a key has one text, so one class and one group
+    key = row_key(id_col, text_col)
+    keyed = docs.select(F.struct("*").alias("row"), key["a"].alias("a"), key["b"].alias("b")).dropDuplicates(["a", "b"])
+    # repeated rows go before the shuffle, which the merge join uses again: keys as longs, since structs that differ in nullability are shuffled anew
+    return keyed.join(stays.hint("merge"), ["a", "b"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
