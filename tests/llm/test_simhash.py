@@ -64,6 +64,20 @@ def test_links_of_crowded_cells(spark):
         assert {p: got.get(p, p) for p in prints} == want
 
 
+def test_sizes_of_cells_are_not_broadcast(spark, monkeypatch):
+    """A fingerprint's 33 cells count as one in Spark's estimates, so these would go through the driver at any size."""
+    plans, written = [], simhash.checkpointed
+
+    def noted(df):
+        out = written(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpointed", noted)
+    fingerprint_links(spark.createDataFrame([(1 << i,) for i in range(40)], "fp long"))
+    assert plans and not any("BroadcastExchange" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(60)]
