@@ -173,6 +173,29 @@ def test_links_past_the_least_of_crowded_cells(spark):
         assert {r.doc_id for r in simhash.one_of_each(docs, largest_cell=largest).collect()} == set(groups.values())
 
 
+def test_similar_texts_without_a_part_in_common(spark, monkeypatch):
+    """Pairs of similarity 0.8 or more whose parts all differ, and a passage that makes the first shingles of all frequent."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    cells = lambda t: set(simhash.part_cells(simhash.np.unique(simhash.shingle_hashes(" ".join(t), 5))).tolist())
+    passage, texts = [word() for _ in range(30)], []
+    while len(texts) < 24:
+        a = [word() for _ in range(100)]
+        b = list(a)
+        b[20 + rng.randrange(20)], b[60 + rng.randrange(20)] = word(), word()
+        if not cells(a) & cells(b):
+            texts += [a, b]
+    texts += [[word() for _ in range(20)] + passage for _ in range(90)]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    groups, met = similar_groups(texts), []
+    assert len(set(groups.values())) == len(texts) - 12
+    links = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda distinct: met.append(distinct.count()) or links(distinct))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(groups.values())
+    assert met == [len({fingerprint(t, 5) for t in texts.values()})]  # the grid has whole texts' fingerprints
+
+
 def test_one_of_each(spark):
     a, b = "one two three four five six", "alpha beta gamma delta"
     rows = [(4, a, "x"), (2, a, "y"), (2, a, "y"), (7, b, "z"), (8, None, "x"), (9, "", "x"), (None, "lonely words of its own", "x"), (None, "lonely words of its own", "x"), (1, "totally other words", "x"), (1, "unlike all the others here", "x")]
