@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import xxhash
@@ -173,6 +174,48 @@ def test_links_past_the_least_of_crowded_cells(spark):
         assert {r.doc_id for r in simhash.one_of_each(docs, largest_cell=largest).collect()} == set(groups.values())
 
 
+def test_crowded_cells_whose_least_text_is_of_another_size(spark):
+    """No text of a crowded cell is a candidate with the least one, and similar ones are found all the same."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(36)], []
+    for _ in range(12):
+        own = [word() for _ in range(9)]
+        texts += [passage + own, passage + own[:-1] + [word()]]
+    cls = lambda t: xxhash.xxh3_128_digest(" ".join(t).encode())
+    least = min(map(cls, texts))
+    while cls(long := passage + [word() for _ in range(60)]) > least:
+        pass
+    texts = {i: " ".join(t) for i, t in enumerate([long, *texts])}
+    groups = similar_groups(texts)
+    assert len(set(groups.values())) == 13
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs, largest_cell=2).collect()} == set(groups.values())
+
+
+def test_what_passes_goes(spark):
+    """Shuffle files and tables of the steps are gone before the result is read, without the driver's garbage collection."""
+    kept = lambda: [f for f in map(str, files()) if "shuffle_" in f and f.endswith(".data")]
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        while found.hasNext():
+            yield found.next().getName()
+
+    before = set(kept())
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * k % 97}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    out = simhash.one_of_each(docs)
+    for _ in range(50):
+        if not (left := set(kept()) - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    shared = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    assert not [f for f in shared.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(shared) if f.getPath().getName().startswith("tables-")]
+    assert spark.conf.get(simhash.CLEANUP, None) is None
+    assert out.count() < 60
+
+
 def test_similar_texts_without_a_part_in_common(spark, monkeypatch):
     """Pairs of similarity 0.8 or more whose parts all differ, and a passage that makes the first shingles of all frequent."""
     rng = random.Random(13)
