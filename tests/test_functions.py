@@ -171,3 +171,25 @@ def test_hardness(spark):
 def test_lists():
     assert T.language_list(None) == list(T.LANGUAGES) == T.language_list("all")
     assert T.language_list("go, php\truby") == ["go", "php", "ruby"]
+
+
+def test_char_ratio_is_that_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    draw = random.Random(3)
+    for i in range(400):
+        letters = ("ab", "abcdefgh .", "abcdefghijklmnopqrstuvwxyz   ABCDEFG.,é漢")[i % 3]
+        a, b = ("".join(draw.choice(letters) for _ in range(draw.randrange(320))) for _ in range(2))
+        b = b[:40] + a[50:150] + b[40:] if i % 4 else b
+        assert S.char_ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_hardness_work_is_dealt_out_and_done_once(spark):
+    rows = spark.createDataFrame([("Returns the sum of a list of numbers.", "Returns the mean of a list of integers.")] * 64, "a string, b string").coalesce(1)
+    out = S.with_hardness(rows, "a", "b").where("hardness IS NOT NULL")
+    assert out.count() == 64
+    assert out.rdd.getNumPartitions() > 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan  # BLEU by places of each n-gram took time by the square of the words
+    assert "regexp" not in "".join(line for line in plan.splitlines() if "Filter" in line)  # nothing is cleaned again for a filter
