@@ -193,3 +193,11 @@ def test_hardness_work_is_dealt_out_and_done_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "array_position" not in plan  # BLEU by places of each n-gram took time by the square of the words
     assert "regexp" not in "".join(line for line in plan.splitlines() if "Filter" in line)  # nothing is cleaned again for a filter
+
+
+def test_ngrams_stay_in_the_task_of_their_pair(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a"], ["a", "a", "b", "a"]), (2, [], ["x"]), (3, ["x"], [])], "id int, ref array<string>, pred array<string>")
+    out = S.ngram_overlap(df, "id", "ref", "pred", 2)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 3, 4), (1, 2, 2, 3), (2, 1, 0, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1 and "Join" not in plan
