@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import MapType, StructType, TimestampNTZType, TimestampType
 
 from currikit.functions import margins as M
 from currikit.functions import text as T
 
+#: Rows and bytes that a model gets at a time, at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 def mark_missing(rows: DataFrame, query: str = "query", chosen: str = "chosen_response", rejected: str = "reject_response") -> DataFrame:
     """rows with client_margin_valid false and an error where a text is missing; none is dropped."""
@@ -62,15 +67,40 @@ def score_summary(rows: DataFrame, source: str = "source") -> DataFrame:
     return rows.groupBy(source).agg(F.count("*").alias("num_rows"), F.count_if(~F.col("client_margin_valid")).alias("num_invalid"), F.avg("client_margin").alias("mean_margin"))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of a model's rows and bytes, or of one row."""
+    n = batch.num_rows
+    if n <= 1 or n <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES:
+        yield batch
+        return
+    yield from _parts(batch.slice(0, n // 2))
+    yield from _parts(batch.slice(n // 2))
+
+
 def with_model(rows: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """rows through an external model, batch by batch; ``model`` is called once in each task to load it."""
+    """rows through an external model, batch by batch; ``model`` is called once in each task to load it.
+
+    A batch has ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at most (or one row), whatever Arrow's own batches
+    have (10,000 rows or 64 MB), so that few texts at a time are Python strings.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    if any(isinstance(f.dataType, (StructType, MapType, TimestampType, TimestampNTZType)) for f in rows.schema):  # Spark has its own forms of these in pandas
+
+        def run_pandas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            score = model()
+            for batch in batches:
+                for i in range(0, len(batch), BATCH_ROWS):
+                    yield score(batch.iloc[i : i + BATCH_ROWS].reset_index(drop=True))
+
+        return rows.mapInPandas(run_pandas, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model()
         for batch in batches:
-            yield score(batch)
+            for part in _parts(batch):
+                yield pa.RecordBatch.from_pandas(score(part.to_pandas()), schema=kinds, preserve_index=False)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def generate_candidates(prompts: DataFrame, model: Callable[[], Callable[[list[str]], list[list[str]]]], row_id: str = "sample_id", prompt: str = "prompt") -> DataFrame:
