@@ -2,7 +2,9 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from currikit.llm import simhash
 from currikit.llm.simhash import components, fingerprint, fingerprint_links, near_duplicates
@@ -248,3 +250,23 @@ def test_one_of_each(spark):
     want = [(1, "totally other words"), (1, "unlike all the others here"), (2, a), (7, b), (8, None), (None, "lonely words of its own")]
     assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
     assert simhash.one_of_each(df.limit(0)).collect() == []
+
+
+def test_texts_of_the_same_words_that_differ_make_no_pair(spark):
+    """Sets drawn from one pool share their rarest hashes, but their parity bits differ in too much; two that are similar stay."""
+    draw = np.random.default_rng(2)
+    pool = np.unique(draw.integers(0, 1 << 63, 130, dtype=np.uint64))
+    sets = [np.sort(draw.choice(pool, 100, replace=False)) for _ in range(30)]
+    sets.append(np.sort(np.append(sets[0][:-2], np.uint64(7))))
+    rows = [(bytes([i + 1]) * 16, s.view(np.int64).tolist(), simhash.parity_bits(s).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    for i, s in enumerate(sets):
+        for t, (_, _, bits) in zip(sets, rows, strict=True):
+            apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(rows[i][2], bits, strict=True))
+            assert apart <= len(np.setxor1d(s, t))
+    table = spark.createDataFrame(rows, "cls binary, set array<long>, bits array<long>")
+    rest = table.select(simhash._short("cls").alias("x")).withColumn("g", F.col("x"))
+    got = {tuple(r) for r in simhash._prefix_pairs(rest, table, 0.8).collect()}
+    ids = [int.from_bytes(r[0][:7], "big") for r in rows]
+    alike = {(ids[i], ids[j]) for i in range(31) for j in range(i + 1, 31) if 9 * len(np.setxor1d(sets[i], sets[j])) <= len(sets[i]) + len(sets[j])}
+    assert (ids[0], ids[30]) in alike and alike <= got
+    assert len(got) < 20  # of 465
